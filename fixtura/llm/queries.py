@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fixtura.llm import exact_dedup, language_id, mixing, packing, toxicity
+from fixtura.llm import exact_dedup, language_id, lattice_lm, mixing, packing, quality_rules, repeat_spans, secrets, toxicity
 from fixtura.llm.common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -18,6 +18,19 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_texts(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan_secrets(read_table(spark, sf_dir, "documents")))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
+
+
 def op5_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
@@ -32,6 +45,10 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_repeat_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_spans.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read_table(spark, sf_dir, "documents"))
 
@@ -40,7 +57,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_toxic_segments, op6_best_fit_packing, op7_source_mix, op9_language_id, op10_exact_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_lattice_lm, op3_secret_scan, op4_quality_rules, op5_toxic_segments, op6_best_fit_packing, op7_source_mix, op8_repeat_spans, op9_language_id, op10_exact_dedup)
+}
 
 ORACLES = {
     "op10_exact_dedup": """
