@@ -46,12 +46,12 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], cap: float) ->
     return sources.select("source", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = 3, shard_words: int = 4_000_000, seed: int = 17) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = 3, shard_words: int = 250_000, seed: int = 17) -> DataFrame:
     """doc_id, size, source, source_size, target, taken, rounds, part: words taken, as whole rounds and a leading part."""
     sizes = settle(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     targets = settle(source_targets(sizes, weights, float(cap)), "targets")
     least = targets.where("target > 0").agg(F.min("target")).first()[0]
-    block = max(1, min(1024, int((least or 0) // 256)))  # even the smallest source gets some 256 blocks
+    block = max(1, min(256, int((least or 0) // 256)))  # even the smallest source gets some 256 blocks
     named = targets.withColumnRenamed("source", "source_")
     rows = sizes.join(named, sizes["source"].eqNullSafe(named["source_"])).drop("source_")
     shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))
@@ -81,4 +81,7 @@ def apply_mix(docs: DataFrame, mix: DataFrame) -> DataFrame:
     out = met.withColumn("mix_take", F.explode(copies))
     words = F.split(F.btrim("text", F.lit(WORD_BREAKS)), f"{BREAK_CLASS}+")
     text = F.when(F.col("mix_take") == 0, F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), F.col("mix_take").cast("int")), " "))
-    return out.withColumn("text", text).select(*docs.columns)
+    out = out.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("mix_take") == 0, F.col("n_chars")).otherwise(F.length("text")))
+    return out.select(*docs.columns)
