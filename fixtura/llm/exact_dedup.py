@@ -107,3 +107,11 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     once = classed.withColumn("first", first)
     out = once.join(groups, [*PRINT, "class"])
     return out.select("doc_id", "keep_id", "group_size", (F.col("first") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256")
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """docs without the rows that exact_dedup drops."""
+    key = lambda doc_id, sha: F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), sha)
+    kept = exact_dedup(docs).where("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("dedup_key"))
+    own = F.sha2(ascii_lower(F.coalesce("text", F.lit(""))).cast("binary"), 256)
+    return docs.withColumn("dedup_key", key(F.col("doc_id"), own)).join(kept, "dedup_key", "left_semi").dropDuplicates(["dedup_key"]).select(*docs.columns)

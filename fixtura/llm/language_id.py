@@ -172,3 +172,18 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2, **bounds) -> DataFr
     held_out = F.coalesce(crc_fold(F.col("doc_id"), folds) == held, F.lit(False))
     source = docs.select("doc_id", held_out.alias("held_out"), utf8(F.col("text")).alias("body"))
     return source.mapInArrow(scorer(model), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, **bounds) -> DataFrame:
+    """The rows of docs that get a language; `und` rows go."""
+    scored = scorer(fit_on(docs, **bounds))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = pa.array([t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()], pa.binary())
+            blank = pa.nulls(len(bodies))
+            found = next(scored(iter([pa.RecordBatch.from_arrays([blank, blank, bodies], names=["doc_id", "held_out", "body"])])))
+            yield batch.filter(pa.array([lang != UNKNOWN for lang in found.column(2).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
