@@ -14,11 +14,16 @@ very long text is cut into full pieces and a rest; an empty table gives an empty
 
 from __future__ import annotations
 
+import os
+import re
+import sys
+import types
 import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,33 +32,48 @@ from pyspark.sql.window import Window
 from fixtura.llm.common import partitions_for, settle, utf8
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words whose ids a task keeps at hand.
-CACHED_WORDS = 300_000
+#: Words whose ids a worker keeps at hand, from one task to the next.
+CACHED_WORDS = 800_000
+#: A control character that stands between words while many are encoded at once; words that hold it go one by one.
+FENCE = "\x01"
+#: A full stop or comma at the end of a word of small letters is a token of its own; apart, the word is met more often.
+ENDING = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
 
 
-def word_ids(tokenizer_path: str, end_id: int):
-    """A function from a text's bytes to its ids as little-endian 32-bit numbers. Tokens never span white space."""
-    import os
+def worker_cache(key: tuple) -> dict[bytes, bytes]:
+    """A dictionary that lives as long as the Python worker."""
+    held = sys.modules.setdefault("fixtura_worker_cache", types.ModuleType("fixtura_worker_cache"))
+    return held.__dict__.setdefault(repr(key), {})
+
 
+def word_ids(tokenizer_path: str, end_id: int):
+    """A function from a text's bytes to its ids as little-endian 32-bit numbers. Tokens never span white space, and
+    the vocabulary is of lower case."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
-    known: dict[bytes, bytes] = {}
+    ids_of = lambda text: np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+    known = worker_cache(("ids", tokenizer_path))
     end = end_id.to_bytes(4, "little")
+    fence = ids_of(FENCE)
 
     def learn(words: list[bytes]) -> None:
-        if len(known) + len(words) > CACHED_WORDS:
-            known.clear()
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            for w, e in zip(part, tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                known[w] = b"".join(x.to_bytes(4, "little") for x in e.ids)
+        plain = [w for w in words if FENCE.encode() not in w] if len(fence) == 1 else []
+        for w in set(words).difference(plain):
+            known[w] = ids_of(w.decode("utf-8", "replace")).tobytes()
+        for i in range(0, len(plain), 4096):
+            part = plain[i : i + 4096]
+            ids = ids_of(f" {FENCE} ".join([w.decode("utf-8", "replace") for w in part]))
+            cuts = (4 * np.flatnonzero(ids == fence[0])).tolist()
+            data = ids.tobytes()
+            known.update(zip(part, [data[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(data)], strict=True)], strict=True))
 
     def encode(text: bytes) -> bytes:
-        words = text.split()
-        if new := {w for w in words if w not in known}:
+        words = ENDING.sub(rb" \1", text.lower()).split()
+        if new := set(words).difference(known):
             if len(known) + len(new) > CACHED_WORDS:
+                known.clear()
                 new = set(words)
             learn(list(new))
         return b"".join(map(known.__getitem__, words)) + end
