@@ -95,7 +95,7 @@ def rolling_form(history: DataFrame, settings: FormSettings = FormSettings()) ->
     out["recency_wpoints"] = F.sum(F.col("points") * weight).over(ever) / F.sum(weight).over(ever)
     out[f"ppm_comp_last{widest}"] = F.last(F.when(F.col("comp"), F.col("comp_mean")), ignorenulls=True).over(ever)
     gap = F.datediff("date", F.lag("date").over(by_team))
-    out["days_since_prev"] = F.least(gap, F.lit(settings.longest_gap_days)).cast("double")
+    out["days_since_prev"] = F.when(gap.isNotNull(), F.least(gap, F.lit(settings.longest_gap_days))).cast("double")
     out["long_inactivity"] = (gap > settings.long_gap_days).cast("double")
     by_day = Window.partitionBy("team").orderBy("day")
     later_today = F.count("*").over(Window.partitionBy("team", "date").orderBy("source_row").rowsBetween(0, Window.unboundedFollowing))
