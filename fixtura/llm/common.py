@@ -15,7 +15,19 @@ WORD_CLASS = r"[^\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows that Spark sends to a Python worker at once; texts are long, its own 10,000 are tens of megabytes.
+BATCH_ROWS = "500"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, unless it has chosen its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,6 +40,7 @@ def scratch_root(spark: SparkSession) -> str:
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors, goes when the session ends."""
     spark = df.sparkSession
+    text_batches(spark)
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark._jvm
