@@ -14,10 +14,12 @@ ever looked at:
   n - ceil(t n) + 1 of each; columns are those n-grams.
 
 Columns are dealt to blocks as packed arrays. Before that a task joins equal columns of its own: it sends one
-entry per column, so a column of a third of all texts arrives once per task. In each column the least member is
-first compared with the others (links found so connect nearly all of any group of near copies); then, exactly,
-every pair of a column whose members are not all connected. Comparison is the product itself: blocks of rows
-whose n-gram lists are intersected, overlap counts accumulated, and pairs below the bound
+entry per column, so a column of a third of all texts arrives once per task. In each column one member, the hub that
+shares most columns, is first compared with the others: links found so connect nearly all of any group of near
+copies. Then, exactly, come the pairs of a column whose members are not all connected. Both members differ from
+the hub in known n-grams, and a pair that links must have enough of those in common: that bound again leaves few
+pairs, where all pairs of a group that merely resembles its hub would be a square. Comparison is the product
+itself: blocks of rows whose n-gram lists are intersected, overlap counts accumulated, and pairs below the bound
 o >= t (m + n) / (1 + t) discarded.
 
 Defined cases: null, empty and wordless texts have no n-grams and link with nothing; fewer words than the n-gram
@@ -45,8 +47,14 @@ MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E
 ENTRY = np.dtype([("column", "<u8"), ("doc", "<i8")])
 #: The column of sets whose parts don't give the guarantee.
 UNSOUND = 0
+#: Bits of the filter of wanted ids (1 MB).
+FILTER_BITS = 1 << 23
+#: Pairs, of 20 bytes, that are broadcast to their sets; more are dealt by document.
+FEW_PAIRS = 100_000
+#: Columns of up to so many members are looked at pair by pair.
+FEW = 16
 #: Entries a task holds before it joins its equal columns and sends them on.
-HELD = 1_500_000
+HELD = 400_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -59,7 +67,7 @@ class WordHashes(dict):
     """Hashes of words, computed once each while they are held."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
@@ -193,11 +201,74 @@ def shared_columns(block, table):
     return pa.table({"column": pa.array(every["column"].view(np.int64)), "doc_id": pa.array(every["doc"])})
 
 
+def sketch(grams: np.ndarray) -> bytes:
+    """How many n-grams fall in each of 256 hash bins (255: or more): two sets share at most the sum of the minima."""
+    return np.minimum(np.bincount((mixed(grams) >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
+def id_bits(ids: np.ndarray) -> np.ndarray:
+    """Two bits of each id in a filter of fixed size."""
+    hashed = mixed(ids.view(np.uint64) + np.uint64(MULTIPLIERS[7]))
+    return np.concatenate([hashed & np.uint64(FILTER_BITS - 1), hashed >> np.uint64(32) & np.uint64(FILTER_BITS - 1)]).astype(np.int64)
+
+
+def filter_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits, any_id = np.zeros(FILTER_BITS, dtype=bool), False
+    for batch in batches:
+        bits[id_bits(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))] = any_id = True
+    rows = [np.packbits(bits).tobytes()] if any_id else []
+    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["bits"])
+
+
+def filter_union(lane, table):
+    every = [np.frombuffer(b, np.uint8) for b in table.column("bits").to_pylist()]
+    return pa.table({"bits": pa.array([np.bitwise_or.reduce(every).tobytes()], pa.binary())})
+
+
+def id_filter(ids: DataFrame) -> bytes:
+    """A filter of FILTER_BITS bits over ids, however many: what it lets through is a superset, so it only saves work."""
+    parts = ids.mapInArrow(filter_parts, "bits binary").withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(16)))
+    rows = parts.groupBy("lane").applyInArrow(filter_union, "bits binary").collect()  # 16 rows of FILTER_BITS bits
+    return np.bitwise_or.reduce([np.frombuffer(r["bits"], np.uint8) for r in rows]).tobytes() if rows else b""
+
+
+def passed(bits: bytes):
+    """Rows whose doc_id the filter lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
+        for batch in batches:
+            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = id_bits(ids)
+            keep = table[at[: len(ids)]] & table[at[len(ids) :]] if len(table) else np.zeros(len(ids), bool)
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
 def set_blobs(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ngram_set(t, n, hashes).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "grams"])
+            sets = [ngram_set(t, n, hashes) for t in batch.column(1).to_pylist()]
+            columns = [batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array(map(len, sets), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "grams", "sketch", "n"])
+
+    return run
+
+
+def likely(percent: int):
+    """Pairs whose sketches leave room for the overlap that a link needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, 256) for k in (2, 3))
+            sizes = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+            room = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+            full = (a == 255).any(axis=1) | (b == 255).any(axis=1)
+            keep = full | ((100 + percent) * room >= percent * sizes)
+            mask = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(mask) for k in (0, 1, 5)], names=["a", "b", "n"])
 
     return run
 
@@ -229,21 +300,66 @@ def multiply(percent: int):
     return run
 
 
+def deltas(sizes: Sizes):
+    """Per block: how each row differs from its first row, as the n-grams that a linked pair must have in common.
+
+    With D(x) the n-grams in which x and the hub differ, x and y differ in |D(x)| + |D(y)| - 2 |D(x) and D(y)|. If
+    they link but not both through the hub, that leaves a least number of common members of D(x) and D(y); so, in
+    one order of n-grams (those not in the hub first), they share one of the first |D| - least + 1 of each."""
+
+    def run(block, table):
+        first: dict[tuple[int, int], bytes] = {}
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("a", "lane", "doc_id", "grams")), strict=True))
+        for a, lane, doc, grams in rows:
+            if doc == a:
+                first[a, lane] = min(first.get((a, lane), grams), grams)
+        out: list[tuple[np.ndarray, ...]] = []
+        for a, lane, doc, grams in rows:
+            if doc == a:
+                continue
+            hub, own = np.frombuffer(first[a, lane], np.uint64), np.frombuffer(grams, np.uint64)
+            differ = np.concatenate([np.setdiff1d(own, hub, assume_unique=True), np.setdiff1d(hub, own, assume_unique=True)])
+            apart, n, m = len(differ), len(own), len(hub)
+            if apart <= sizes.most_apart(n, m):
+                slack = -(-max(0, n - m) * (100 - sizes.percent) // (100 + sizes.percent)) + 1
+                least = max(1, -(-(apart - slack) // 2))
+            else:
+                least = max(1, apart - sizes.most_apart(n, n * 100 // sizes.percent))
+            keep = differ[: max(0, apart - least + 1)].view(np.int64)
+            same = lambda x: np.full(len(keep), x, np.int64)
+            out.append((same(a), keep, np.arange(len(keep)), same(doc), same(n), same(apart)))
+        names = ("hub", "gram", "place", "rep", "n", "apart")
+        return pa.table({name: pa.array(np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64), pa.int64()) for k, name in enumerate(names)})
+
+    return run
+
+
 def fits(a: str, b: str, percent: int) -> Column:
     return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int, block_rows: int = 2_000, lane_rows: int = 256) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, by block; a row with many others is one lane per lane_rows."""
+def in_blocks(pairs: DataFrame, sets: DataFrame, block_grams: int = 1_000_000, lane_rows: int = 256) -> DataFrame:
+    """The sets of pairs (a, b, n) by block, each a with all its b; an a with many b is one lane per lane_rows. n is
+    the size of b's set; blocks hold about block_grams n-grams."""
     pairs = settle(pairs, "pairs")
-    n = pairs.count()
+    counted = pairs.agg(F.sum("n").alias("total"), F.count("*").alias("pairs")).first()
+    total = counted["total"] or 0
     lanes = pairs.groupBy("a").agg(F.ceil(F.count("*") / lane_rows).cast("int").alias("lanes"))
     others = pairs.join(lanes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("lanes")).cast("int").alias("lane"), F.col("b").alias("doc_id"))
     firsts = lanes.select("a", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.col("a").alias("doc_id"))
-    rows = others.union(firsts).join(sets, "doc_id")
-    blocks = partitions_for(2 * n, block_rows, 1)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("a", "lane"), F.lit(blocks)))
-    return rows.groupBy("block").applyInArrow(multiply(percent), "a long, b long").distinct()
+    rows = others.union(firsts)
+    if counted["pairs"] <= FEW_PAIRS:  # then the sets, far larger, stay where they are
+        rows = F.broadcast(rows)
+    rows = sets.select("doc_id", "grams").join(rows, "doc_id")
+    return rows.withColumn("block", F.pmod(F.xxhash64("a", "lane"), F.lit(partitions_for(1.5 * total, block_grams, 1))))
+
+
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold: sketches first, then the sets of what they leave."""
+    side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("sketch").alias(f"sketch_{s}"), F.col("n").alias(f"n_{s}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b", "n_a", "n_b")
+    left = met.mapInArrow(likely(percent), "a long, b long, n long").groupBy("a", "b").agg(F.max("n").alias("n"))
+    return in_blocks(left, sets).groupBy("block").applyInArrow(multiply(percent), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, small: int = 100, block_entries: int = 1_000_000) -> DataFrame:
@@ -273,24 +389,42 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, small: in
     every = settle(large.union(rare).distinct(), "columns")
     columns = every.where(F.col("column") != UNSOUND)
 
-    # First the least member of each column with the others.
-    least = columns.groupBy("column").agg(F.min(F.struct("rep", "n_shingles")).alias("least"))
-    stars = columns.join(least, "column").where((F.col("rep") != F.col("least.rep")) & fits("n_shingles", "least.n_shingles", percent)).select(F.col("least.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    # First the member of each column that shares most columns, the one with the fewest changes, with the others.
+    shares = columns.groupBy("rep").agg(F.count("*").alias("shares"))
+    columns = settle(columns.join(shares, "rep"), "shared")
+    hub = columns.groupBy("column").agg(F.max(F.struct("shares", "rep", "n_shingles")).alias("hub"))
+    stars = columns.join(hub, "column").where((F.col("rep") != F.col("hub.rep")) & fits("n_shingles", "hub.n_shingles", percent)).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
     more = unsound_pairs(every.where(F.col("column") == UNSOUND), node, sizes)
     wanted = columns.select(F.col("rep").alias("doc_id")).distinct()
     wanted = wanted if more is None else wanted.union(more.select(F.explode(F.array("a", "b")))).distinct()
-    blobs = settle(rows.join(wanted, "doc_id", "left_semi").mapInArrow(set_blobs(n), "doc_id long, grams binary"), "blobs")
+    wanted = settle(wanted, "wanted")
+    some = rows.mapInArrow(passed(id_filter(wanted)), rows.schema)
+    blobs = settle(some.join(wanted, "doc_id", "left_semi").mapInArrow(set_blobs(n), "doc_id long, grams binary, sketch binary, n long"), "blobs")
     stars = settle(stars if more is None else stars.union(more).distinct(), "stars")
     twice = node.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
     found = connected_components(settle(linked(stars, blobs, percent).union(twice), "links"))
 
-    # Then every pair of a column that is not all one component.
+    # Then every pair of a column that is not all one component: by how its members differ from its hub.
     placed = columns.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_columns = placed.groupBy("column").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("column")
-    left = settle(placed.join(open_columns, "column"), "open")
-    x, y = (left.select("column", *[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n_shingles", "component")]) for s in "xy")
-    cross = x.join(y, (x["column"] == y["column"]) & (F.col("component_x") < F.col("component_y")) & fits("n_shingles_x", "n_shingles_y", percent)).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct()
-    cross = cross.join(stars, ["a", "b"], "left_anti").join(stars.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    open_columns = placed.groupBy("column").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("column", "members")
+    opened = settle(placed.join(open_columns, "column"), "open")
+    pair = lambda df, keys, names: [df.select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in names]) for s in "xy"]
+    x, y = pair(opened.where(F.col("members") <= FEW), ["column"], ["rep", "n_shingles", "component"])
+    few = x.join(y, "column").where((F.col("component_x") < F.col("component_y")) & fits("n_shingles_x", "n_shingles_y", percent)).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
+
+    around = opened.where(F.col("members") > FEW).select("column", "rep", "n_shingles").join(hub, "column").where("rep <> hub.rep")
+    around = around.groupBy(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).agg(F.max("n_shingles").alias("n"))
+    grams = in_blocks(around, blobs).groupBy("block").applyInArrow(deltas(sizes), "hub long, gram long, place long, rep long, n long, apart long")
+    grams = grams.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    grams = settle(grams, "grams")
+    mixed_grams = grams.groupBy("hub", "gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("hub", "gram")
+    x, y = pair(grams.join(mixed_grams, ["hub", "gram"]), ["hub", "gram"], ["rep", "n", "apart", "place", "component"])
+    # A pair that links has a first common n-gram, and what is left from there on in both must suffice.
+    most_apart = F.floor((F.col("n_x") + F.col("n_y")) * (100 - percent) / (100 + percent))
+    rest = F.least(F.col("apart_x") - F.col("place_x"), F.col("apart_y") - F.col("place_y"))
+    near = (F.abs(F.col("apart_x") - F.col("apart_y")) <= most_apart) & (2 * rest >= F.col("apart_x") + F.col("apart_y") - most_apart)
+    cross = x.join(y, ["hub", "gram"]).where((F.col("component_x") < F.col("component_y")) & fits("n_x", "n_y", percent) & near)
+    cross = cross.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).union(few).distinct()
     late = settle(linked(cross, blobs, percent), "late")
     of = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"{side}_of"))
     bridges = late.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b"))
@@ -309,3 +443,10 @@ def unsound_pairs(weak: DataFrame, node: DataFrame, sizes: Sizes) -> DataFrame |
     reps = node.where("doc_id = rep").select(F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), low.alias("level"))
     near = weak.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.explode(F.sequence(low - 1, low + 1)).alias("level")).distinct()
     return near.join(reps, "level").where((F.col("a") != F.col("b")) & fits("n_a", "n_b", sizes.percent)).select("a", "b").distinct()
+
+
+def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80, **options) -> DataFrame:
+    """docs with one document, that of the smallest doc_id, of each component; rows without an id stay."""
+    found = jaccard_components(docs, n=n, percent=percent, **options)
+    gone = found.where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
