@@ -80,9 +80,11 @@ def rating_steps(matches: DataFrame, settings: EloSettings = EloSettings()) -> D
 TIMELINE = "match_id long, date date, source_row long, home_team string, away_team string, home_elo_pre double, away_elo_pre double, expected_home double, actual_home double, delta double, home_elo_post double, away_elo_post double"
 
 
-def folded(settings: EloSettings):
+def folded(settings: EloSettings, start: dict[str, float] | None = None):
+    """The fold over ordered steps, from the ratings in start (a number per team)."""
+
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict[str, float] = {}
+        state = dict(start or {})
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):

@@ -103,6 +103,28 @@ VIEWS = {
     "v_appearances": """
         SELECT event_id, user_id AS player_id, cast(ts AS date) AS date, event_id % 700 AS game_id, event_type, value, cast(event_id % 91 AS bigint) AS minutes, event_id % 2 AS goals
         FROM {events}""",
+    "v_teams48": """
+        SELECT c_custkey AS id, concat('T', cast(10 + c_custkey AS string)) AS team, c_custkey % 12 AS grp FROM {customer} WHERE c_custkey < 48""",
+    "v_fixtures": """
+        SELECT a.id * 100 + b.id AS fixture_id, a.grp AS grp, a.team AS home, b.team AS away, (a.id + b.id) % 5 = 0 AS played, cast(a.id % 3 AS int) AS home_goals, cast(b.id % 2 AS int) AS away_goals
+        FROM {v_teams48} a JOIN {v_teams48} b ON a.grp = b.grp AND a.id < b.id""",
+    "v_source_fixtures": """
+        SELECT match_id AS source_id, date, CASE WHEN match_id % 4 = 0 THEN away_team ELSE home_team END AS home, CASE WHEN match_id % 4 = 0 THEN home_team ELSE away_team END AS away
+        FROM {v_matches} WHERE match_id % 9 > 0
+        UNION ALL SELECT match_id + 50000000 AS source_id, date, 'Nobody' AS home, away_team AS away FROM {v_matches} WHERE match_id % 31 = 0""",
+    "v_tags": """
+        SELECT concat('T', cast(10 + event_id % 48 AS string)) AS team, cast(event_id % 20 AS int) AS match_number, cast(event_id % 7 - 3 AS double) AS points FROM {events} WHERE event_type = 'view'""",
+    "v_ties": """
+        SELECT a.id * 100 + b.id AS match, cast(a.id % 20 AS int) AS match_number, a.team AS team_a, b.team AS team_b, cast(1 + (a.id * 7 + b.id * 3) % 9 AS double) / 10 AS p
+        FROM {v_teams48} a JOIN {v_teams48} b ON a.id < b.id""",
+    "v_squad": """
+        SELECT c_custkey AS row_id, CASE WHEN c_custkey % 3 = 0 THEN concat('  ', upper(c_name)) ELSE c_name END AS name, n_name AS nationality, c_mktsegment AS club,
+            CASE WHEN c_custkey % 5 = 0 THEN c_custkey END AS source_id, CASE WHEN c_custkey % 4 > 0 THEN concat('19', cast(70 + c_custkey % 30 AS string), '-01-02') END AS dob
+        FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
+    "v_master": """
+        SELECT c_custkey AS player_id, c_name AS name, CASE WHEN c_custkey % 7 = 0 THEN 'Elsewhere' ELSE n_name END AS nationality, c_mktsegment AS club,
+            CASE WHEN c_custkey % 6 > 0 THEN concat('19', cast(70 + c_custkey % 30 AS string), '-01-02') END AS dob
+        FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey WHERE c_custkey % 11 > 0""",
     "v_valuations": """
         SELECT user_id AS player_id, cast(ts AS date) AS date, value, event_id FROM {events} WHERE event_type = 'purchase'""",
 }
