@@ -309,12 +309,13 @@ def deltas(sizes: Sizes):
 
     def run(block, table):
         first: dict[tuple[int, int], bytes] = {}
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("a", "lane", "doc_id", "grams")), strict=True))
-        for a, lane, doc, grams in rows:
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("a", "lanes", "lane", "doc_id", "grams")), strict=True))
+        for a, _, lane, doc, grams in rows:
             if doc == a:
                 first[a, lane] = min(first.get((a, lane), grams), grams)
         out: list[tuple[np.ndarray, ...]] = []
-        for a, lane, doc, grams in rows:
+        alone: dict[int, list[int]] = {}  # hubs whose rows are all here, and where theirs are in out
+        for a, lanes, lane, doc, grams in rows:
             if doc == a:
                 continue
             hub, own = np.frombuffer(first[a, lane], np.uint64), np.frombuffer(grams, np.uint64)
@@ -327,7 +328,14 @@ def deltas(sizes: Sizes):
                 least = max(1, apart - sizes.most_apart(n, n * 100 // sizes.percent))
             keep = differ[: max(0, apart - least + 1)].view(np.int64)
             same = lambda x: np.full(len(keep), x, np.int64)
+            if lanes == 1:
+                alone.setdefault(a, []).append(len(out))
             out.append((same(a), keep, np.arange(len(keep)), same(doc), same(n), same(apart)))
+        for at in alone.values():  # an n-gram that only one of them has joins nothing
+            kinds, back, times = np.unique(np.concatenate([out[i][1] for i in at]), return_inverse=True, return_counts=True)
+            shared = np.split(times[back] > 1, np.cumsum([len(out[i][1]) for i in at])[:-1])
+            for i, keep in zip(at, shared, strict=True):
+                out[i] = tuple(x[keep] for x in out[i])
         names = ("hub", "gram", "place", "rep", "n", "apart")
         return pa.table({name: pa.array(np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64), pa.int64()) for k, name in enumerate(names)})
 
@@ -338,15 +346,15 @@ def fits(a: str, b: str, percent: int) -> Column:
     return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
 
 
-def in_blocks(pairs: DataFrame, sets: DataFrame, block_grams: int = 1_000_000, lane_rows: int = 256) -> DataFrame:
-    """The sets of pairs (a, b, n) by block, each a with all its b; an a with many b is one lane per lane_rows. n is
-    the size of b's set; blocks hold about block_grams n-grams."""
+def in_blocks(pairs: DataFrame, sets: DataFrame, block_grams: int = 1_000_000) -> DataFrame:
+    """The sets of pairs (a, b, n) by block, each a with all its b; n is the size of b's set. Blocks hold about
+    block_grams n-grams, and an a whose b have more than half of that is dealt in lanes."""
     pairs = settle(pairs, "pairs")
     counted = pairs.agg(F.sum("n").alias("total"), F.count("*").alias("pairs")).first()
     total = counted["total"] or 0
-    lanes = pairs.groupBy("a").agg(F.ceil(F.count("*") / lane_rows).cast("int").alias("lanes"))
-    others = pairs.join(lanes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("lanes")).cast("int").alias("lane"), F.col("b").alias("doc_id"))
-    firsts = lanes.select("a", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.col("a").alias("doc_id"))
+    lanes = pairs.groupBy("a").agg(F.ceil(F.sum("n") / (block_grams / 2)).cast("int").alias("lanes"))
+    others = pairs.join(lanes, "a").select("a", "lanes", F.pmod(F.xxhash64("b"), F.col("lanes")).cast("int").alias("lane"), F.col("b").alias("doc_id"))
+    firsts = lanes.select("a", "lanes", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.col("a").alias("doc_id"))
     rows = others.union(firsts)
     if counted["pairs"] <= FEW_PAIRS:  # then the sets, far larger, stay where they are
         rows = F.broadcast(rows)
