@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import inspect
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +20,39 @@ WORD_CLASS = r"[^\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def give_back() -> None:
+    """Return what a worker has freed to the system: workers live on between tasks, and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def released(function):
+    """The same function for Spark's Arrow operators, with memory given back at its end."""
+    if inspect.isgeneratorfunction(function):
+
+        @functools.wraps(function)
+        def each(batches):
+            yield from function(batches)
+            give_back()
+
+        return each
+
+    def whole(key, table):  # Spark counts the arguments of these
+        try:
+            return function(key, table)
+        finally:
+            give_back()
+
+    def both(key, left, right):
+        try:
+            return function(key, left, right)
+        finally:
+            give_back()
+
+    return whole if len(inspect.signature(function).parameters) == 2 else both
+
+
 #: Rows that Spark sends to a Python worker at once; texts are long, its own 10,000 are tens of megabytes.
 BATCH_ROWS = "500"
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fixtura.llm.common import ascii_lower, settle, utf8
+from fixtura.llm.common import ascii_lower, released, settle, utf8
 
 CHUNK = 1 << 16
 #: Two Mersenne primes and a base for each; a chunk's sum of 255 * prime * CHUNK stays below 2**63.
@@ -97,7 +97,7 @@ def differing(docs: DataFrame, digests: DataFrame, groups: DataFrame) -> DataFra
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (largest doc_id of equal texts stays)."""
     source = docs.select("doc_id", utf8(F.col("text")).alias("body"))
-    digests = settle(source.mapInArrow(_digest, "doc_id long, fp_a long, fp_b long, n_bytes long, text_sha256 string"), "digests")
+    digests = settle(source.mapInArrow(released(_digest), "doc_id long, fp_a long, fp_b long, n_bytes long, text_sha256 string"), "digests")
     whole = digests.groupBy(*PRINT).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     apart = differing(docs, digests, whole).withColumn("apart", F.lit(True))
     classed = digests.join(apart, ["doc_id", "text_sha256"], "left").withColumn("class", F.when(F.col("apart"), F.col("text_sha256")).otherwise(F.lit("")))

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fixtura.llm.common import crc_fold, unit_hash, utf8
+from fixtura.llm.common import crc_fold, released, unit_hash, utf8
 
 DIMS = 4096
 UNKNOWN = "und"
@@ -136,7 +136,7 @@ def train(labelled: DataFrame, per_language: int = 600, seed: int = 29) -> Model
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
     drawn = labelled.where(unit_hash(F.lit(seed), F.col("doc_id")) < share).select("lang", "body")
-    rows = sorted((r["lang"], bytes(r["vector"])) for r in drawn.mapInArrow(_featurise, "lang string, vector binary").collect())
+    rows = sorted((r["lang"], bytes(r["vector"])) for r in drawn.mapInArrow(released(_featurise), "lang string, vector binary").collect())
     if not rows:
         return None
     return Model(np.stack([np.frombuffer(v, dtype=np.float32) for _, v in rows]), [lang for lang, _ in rows])
@@ -171,7 +171,7 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2, **bounds) -> DataFr
     model = fit_on(docs, folds, held, **bounds)
     held_out = F.coalesce(crc_fold(F.col("doc_id"), folds) == held, F.lit(False))
     source = docs.select("doc_id", held_out.alias("held_out"), utf8(F.col("text")).alias("body"))
-    return source.mapInArrow(scorer(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    return source.mapInArrow(released(scorer(model)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, **bounds) -> DataFrame:
@@ -186,4 +186,4 @@ def keep_identified(docs: DataFrame, **bounds) -> DataFrame:
             found = next(scored(iter([pa.RecordBatch.from_arrays([blank, blank, bodies], names=["doc_id", "held_out", "body"])])))
             yield batch.filter(pa.array([lang != UNKNOWN for lang in found.column(2).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fixtura.llm.common import crc_fold, partitions_for, settle, utf8
+from fixtura.llm.common import crc_fold, partitions_for, released, settle, utf8
 
 END_OF_WORD = "</w>"
 #: Words of one length whose lattices are computed together.
@@ -226,7 +226,7 @@ def fit_pieces(words: DataFrame, pieces: list, rounds: int, smoothing: float = 0
     log_p = np.log(np.stack([p, p]) / p.sum())
     used = words.where("n > 0").select("word")
     for _ in range(rounds):
-        found = used.mapInArrow(_expectations(pieces, log_p), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+        found = used.mapInArrow(released(_expectations(pieces, log_p)), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
         rows = found.collect()  # two rows per piece of the vocabulary at most
         if not rows:
             break
@@ -241,7 +241,7 @@ def score_texts(docs: DataFrame, vocabulary: str, folds: int = 7, held: int = 2,
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document (scores in log10)."""
     fold = crc_fold(F.col("doc_id"), folds)
     rows = docs.select("doc_id", F.coalesce(fold == held, F.lit(False)).alias("held_out"), F.coalesce(fold != held, F.lit(False)).alias("learn"), utf8(F.col("text")).alias("body"))
-    counted = rows.select("learn", "body").mapInArrow(_count_words, "word binary, n long")
+    counted = rows.select("learn", "body").mapInArrow(released(_count_words), "word binary, n long")
     words = settle(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
     totals = words.agg(F.sum("n").alias("n"), *[F.sum((F.col("n") >= k if k == 1 else F.col("n") == k - 1).cast("long")).alias(v) for k, v in ((1, "v"), (2, "once"), (3, "twice"))]).first()
     texts = rows.agg(F.sum(F.col("learn").cast("long")).alias("learn"), F.count("*").alias("all")).first()
@@ -250,13 +250,13 @@ def score_texts(docs: DataFrame, vocabulary: str, folds: int = 7, held: int = 2,
     discount = ((totals["once"] or 0) + 0.5) / ((totals["once"] or 0) + 2 * (totals["twice"] or 0) + 1.0)
     pieces = read_pieces(vocabulary)
     log_p = fit_pieces(words, pieces, rounds)
-    scored = words.mapInArrow(_word_scores(pieces, log_p, learnt, int(totals["v"] or 0), discount), "word binary, n long, log_p double")
+    scored = words.mapInArrow(released(_word_scores(pieces, log_p, learnt, int(totals["v"] or 0), discount)), "word binary, n long, log_p double")
     stop = (ends + 0.5) / (total + 1.0)
     base = total + 1.0 * (distinct + 1)
     model = {"base": base, "end_known": int(ends > 0), "base_end": math.log10((ends + 1) / base), "go_on": math.log10(1 - stop), "stop": math.log10(stop)}
     # Words of held-out texts are a known share of all; blocks are sized by the words that training saw.
     blocks = partitions_for(learnt * (texts["all"] or 0) / max(1, ends), block_words, 1)
     placed = rows.select("doc_id", "held_out", "body", F.pmod(F.xxhash64("doc_id", F.substring("body", 1, 64)), F.lit(blocks)).alias("block"))
-    needed = placed.groupBy("block").applyInArrow(_block_words, "block long, word binary").join(scored, "word")
-    out = placed.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(_score_block(model), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    needed = placed.groupBy("block").applyInArrow(released(_block_words), "block long, word binary").join(scored, "word")
+    out = placed.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(released(_score_block(model)), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(total).cast("long"))

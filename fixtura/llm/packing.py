@@ -14,14 +14,17 @@ very long text is cut into full pieces and a rest; an empty table gives an empty
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
 import types
+import unicodedata
 import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +32,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fixtura.llm.common import partitions_for, settle, utf8
+from fixtura.llm.common import partitions_for, released, settle, utf8
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words whose ids a worker keeps at hand, from one task to the next.
-CACHED_WORDS = 800_000
+#: Words whose ids a worker keeps at hand, from one task to the next (some 60 MB).
+CACHED_WORDS = 300_000
 #: A control character that stands between words while many are encoded at once; words that hold it go one by one.
 FENCE = "\x01"
-#: A full stop or comma at the end of a word of small letters is a token of its own; apart, the word is met more often.
-ENDING = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
+#: ASCII signs after a small letter are tokens of their own; apart, the word is met more often.
+SIGNS = re.compile(rb"(?<=[a-z])([!-/:-@\[-`{-~])")
+#: Words that show whether the short way agrees with the tokenizer.
+PROBE = ("the", "reading", "straße", "été", "übergröße", "año", "東京", "zq", "internationalisation")
 
 
 def worker_cache(key: tuple) -> dict[bytes, bytes]:
@@ -46,48 +51,81 @@ def worker_cache(key: tuple) -> dict[bytes, bytes]:
     return held.__dict__.setdefault(repr(key), {})
 
 
-def word_ids(tokenizer_path: str, end_id: int):
-    """A function from a text's bytes to its ids as little-endian 32-bit numbers. Tokens never span white space, and
-    the vocabulary is of lower case."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    ids_of = lambda text: np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-    known = worker_cache(("ids", tokenizer_path))
-    end = end_id.to_bytes(4, "little")
-    fence = ids_of(FENCE)
-
-    def learn(words: list[bytes]) -> None:
-        plain = [w for w in words if FENCE.encode() not in w] if len(fence) == 1 else []
-        for w in set(words).difference(plain):
-            known[w] = ids_of(w.decode("utf-8", "replace")).tobytes()
-        for i in range(0, len(plain), 4096):
-            part = plain[i : i + 4096]
-            ids = ids_of(f" {FENCE} ".join([w.decode("utf-8", "replace") for w in part]))
-            cuts = (4 * np.flatnonzero(ids == fence[0])).tolist()
-            data = ids.tobytes()
-            known.update(zip(part, [data[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(data)], strict=True)], strict=True))
-
-    def encode(text: bytes) -> bytes:
-        words = ENDING.sub(rb" \1", text.lower()).split()
-        if new := set(words).difference(known):
-            if len(known) + len(new) > CACHED_WORDS:
-                known.clear()
+def byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write bytes as printable characters."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class WordIds:
+    """Ids of words as little-endian 32-bit numbers. Tokens never span white space, so a word is encoded once.
+
+    A word of small letters in normal form needs no normalisation and no splitting: it goes to the merges alone, as
+    its bytes' letters (the short way). Any other word takes the whole tokenizer, and so does all if the two
+    disagree on PROBE."""
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+        self.letters = byte_letters()
+        self.fence = {False: FENCE, True: FENCE.encode().decode("latin-1").translate(self.letters)}
+        parts = json.loads(Path(path).read_text(encoding="utf-8")) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}
+        self.merges = Tokenizer.from_str(json.dumps(parts))
+        probe = [w.encode() for w in PROBE]
+        self.lower = self.whole.encode("A").ids == self.whole.encode("a").ids
+        self.short = self.lower and self.encode(probe, True) == [self.one(w) for w in probe]
+        self.known = worker_cache(("ids", path))
+
+    def one(self, word: bytes) -> bytes:
+        return np.array(self.whole.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def encode(self, words: list[bytes], short: bool) -> list[bytes]:
+        tokenizer, fence = (self.merges if short else self.whole), self.fence[short]
+        text = [w.decode("latin-1").translate(self.letters) for w in words] if short else [w.decode("utf-8", "replace") for w in words]
+        ids = np.array(tokenizer.encode_batch_fast([f" {fence} ".join(text)], add_special_tokens=False)[0].ids, dtype="<u4")
+        mark = tokenizer.encode_batch_fast([fence], add_special_tokens=False)[0].ids
+        cuts = (4 * np.flatnonzero(ids == mark[0])).tolist() if len(mark) == 1 else []
+        if len(cuts) != len(words) - 1:
+            return [self.one(w) for w in words]
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(data)], strict=True)]
+
+    def plain(self, word: bytes) -> bool:
+        if word.isalpha():  # ASCII letters; they are small by now
+            return True
+        text = word.decode("utf-8", "replace")
+        return text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
+
+    def learn(self, words: set[bytes]) -> None:
+        plain = [w for w in words if self.plain(w)] if self.short else []
+        other = words.difference(plain) if plain else words
+        for short, part in ((True, plain), (False, [w for w in other if FENCE.encode() not in w])):
+            for i in range(0, len(part), 4096):
+                self.known.update(zip(part[i : i + 4096], self.encode(part[i : i + 4096], short), strict=True))
+        for w in other:
+            if w not in self.known:
+                self.known[w] = self.one(w)
+
+    def __call__(self, text: bytes) -> bytes:
+        words = SIGNS.sub(rb" \1", text.lower()).split() if self.lower else text.split()
+        if new := set(words).difference(self.known):
+            if len(self.known) + len(new) > CACHED_WORDS:
+                self.known.clear()
                 new = set(words)
-            learn(list(new))
-        return b"".join(map(known.__getitem__, words)) + end
-
-    return encode
+            self.learn(new)
+        return b"".join(map(self.known.__getitem__, words))
 
 
 def cut_pieces(tokenizer_path: str, capacity: int, end_id: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_ids(tokenizer_path, end_id)
+        encode, end = WordIds(tokenizer_path), end_id.to_bytes(4, "little")
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text)
+                ids = encode(text) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     for column, value in zip(rows, (doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own)), strict=True):
@@ -208,4 +246,4 @@ def pack(pieces: DataFrame, capacity: int, bucket_rows: int = 200_000) -> DataFr
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece of every document."""
     source = docs.select("doc_id", utf8(F.col("text")).alias("body"))
-    return pack(settle(source.mapInArrow(cut_pieces(tokenizer_path, capacity, end_id), PIECES), "pieces"), capacity)
+    return pack(settle(source.mapInArrow(released(cut_pieces(tokenizer_path, capacity, end_id)), PIECES), "pieces"), capacity)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fixtura.llm.common import partitions_for, utf8
+from fixtura.llm.common import partitions_for, released, utf8
 
 BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 1 << 64)
@@ -359,8 +359,8 @@ def remove_repeats(docs: DataFrame, width: int = 200, key: int = 100, block_byte
     parts = partitions_for(size, block_bytes // 2, 12)
     placed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.substring("body", 1, 64)), F.lit(blocks)))
     by_block = placed.groupBy("block")
-    counted = by_block.applyInArrow(count_phrases(width, key, parts), schema(COUNTED))
-    told = counted.groupBy("part").applyInArrow(settle_phrases, schema(TOLD))
-    entries = by_block.cogroup(told.groupBy("block")).applyInArrow(write_dictionary(width, key, parts), schema(ENTRIES))
-    found = entries.groupBy("part").applyInArrow(sort_dictionary(width), schema(FOUND))
-    return by_block.cogroup(found.groupBy("block")).applyInArrow(cut_texts(width, key), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    counted = by_block.applyInArrow(released(count_phrases(width, key, parts)), schema(COUNTED))
+    told = counted.groupBy("part").applyInArrow(released(settle_phrases), schema(TOLD))
+    entries = by_block.cogroup(told.groupBy("block")).applyInArrow(released(write_dictionary(width, key, parts)), schema(ENTRIES))
+    found = entries.groupBy("part").applyInArrow(released(sort_dictionary(width)), schema(FOUND))
+    return by_block.cogroup(found.groupBy("block")).applyInArrow(released(cut_texts(width, key)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fixtura.llm.common import crc_fold, unit_hash, utf8
+from fixtura.llm.common import crc_fold, released, unit_hash, utf8
 
 OUTER = b".,;:!?\"'()[]{}|*$%&#<>-"
 STEM = 5
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 12_000, lexicon_siz
     sample = marked.where(unit_hash(F.lit(seed), F.col("doc_id")) < share).dropDuplicates(["doc_id"])
     # Two classes of about per_class rows of 12 bytes: bounded by the parameter.
     texts = docs.select("doc_id", utf8(F.col("text")).alias("body")).join(F.broadcast(sample), "doc_id").select("label", "body")
-    terms = texts.mapInArrow(_count_terms, "term binary, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    terms = texts.mapInArrow(released(_count_terms), "term binary, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     total = terms.agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).first()
     sum_t, sum_c = float(total["t"] or 0), float(total["c"] or 0)
     alpha_w, alpha_0 = prior * (F.col("toxic") + F.col("clean")), prior * (sum_t + sum_c)
@@ -175,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 12_000, lexicon_siz
     kept = terms.where("toxic >= 2").select("term", delta.alias("delta"), z.alias("z")).where((F.col("z") >= min_z) & (F.col("delta") >= 1.0))
     lexicon = {bytes(r["term"]): float(r["delta"]) for r in kept.orderBy(F.desc("z"), "term").limit(lexicon_size).collect()}
     scale = Scale(lexicon, drift, alpha)
-    rows = texts.mapInArrow(_segments_for_fit(scale), "label int, n long, scores array<double>").collect()  # about 2 * per_class rows
+    rows = texts.mapInArrow(released(_segments_for_fit(scale)), "label int, n long, scores array<double>").collect()  # about 2 * per_class rows
     scale.calibrate([(r["label"], r["n"], [(0, 0, s) for s in r["scores"]]) for r in rows])
     return scale
 
@@ -200,4 +200,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, f
     scale = fit(docs, labels, folds=folds, held=held, **bounds)
     held_out = F.coalesce(crc_fold(F.col("doc_id"), folds) == held, F.lit(False))
     source = docs.select("doc_id", held_out.alias("held_out"), utf8(F.col("text")).alias("body"))
-    return source.mapInArrow(scorer(scale, threshold), f"doc_id long, held_out boolean, score double, predicted int, passages {SEGMENTS}")
+    return source.mapInArrow(released(scorer(scale, threshold)), f"doc_id long, held_out boolean, score double, predicted int, passages {SEGMENTS}")
