@@ -39,9 +39,9 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], cap: float) ->
     before, every = rising.rowsBetween(Window.unboundedPreceding, -1), rising.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     free = F.sum("source_size").over(every) - F.coalesce(F.sum("stop").over(before), F.lit(0.0))
     level = free / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    sources = sources.withColumn("level", level)
+    sources = sources.withColumn("level", level).withColumn("nth", F.row_number().over(rising))
     # The first row whose stop is at or above its own level sets the level; levels rise along the rows before it.
-    first = F.min(F.when(F.col("stop") / F.col("weight") >= F.col("level"), F.struct(F.col("stop") / F.col("weight"), F.col("level").alias("level")))).over(every)
+    first = F.min(F.when(F.col("stop") / F.col("weight") >= F.col("level"), F.struct("nth", "level"))).over(every)
     target = F.least(F.col("stop"), F.coalesce(first["level"], F.lit(float("inf"))) * F.col("weight"))
     return sources.select("source", "source_size", target.alias("target"))
 
