@@ -1,8 +1,7 @@
 """Every registered query with an oracle, on the smallest tables; the others run and give rows."""
 
 import pytest
-from conftest import DATA
-from oracle import assert_same, connect
+from oracle import DATA, assert_same, connect
 
 from fixtura.plans import catalogue
 
