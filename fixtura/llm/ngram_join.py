@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fixtura.llm.common import partitions_for, settle, utf8
+from fixtura.llm.common import partitions_for, released, settle, utf8
 from fixtura.llm.components import connected_components
 
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x2545F4914F6CDD1D, 0x94D049BB133111EB)
@@ -227,8 +227,8 @@ def filter_union(lane, table):
 
 def id_filter(ids: DataFrame) -> bytes:
     """A filter of FILTER_BITS bits over ids, however many: what it lets through is a superset, so it only saves work."""
-    parts = ids.mapInArrow(filter_parts, "bits binary").withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(16)))
-    rows = parts.groupBy("lane").applyInArrow(filter_union, "bits binary").collect()  # 16 rows of FILTER_BITS bits
+    parts = ids.mapInArrow(released(filter_parts), "bits binary").withColumn("lane", F.pmod(F.spark_partition_id(), F.lit(16)))
+    rows = parts.groupBy("lane").applyInArrow(released(filter_union), "bits binary").collect()  # 16 rows of FILTER_BITS bits
     return np.bitwise_or.reduce([np.frombuffer(r["bits"], np.uint8) for r in rows]).tobytes() if rows else b""
 
 
@@ -300,8 +300,51 @@ def multiply(percent: int):
     return run
 
 
+#: The place of a row of deltas() that is a link already.
+LINK = -1
+GRAMS = "hub long, gram long, place long, rep long, n long, apart long"
+
+
+def prefix(hub: np.ndarray, own: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, int]:
+    """The n-grams in which own differs from its hub that a linked pair must meet in, and how many differ at all."""
+    differ = np.concatenate([np.setdiff1d(own, hub, assume_unique=True), np.setdiff1d(hub, own, assume_unique=True)])
+    apart, n, m = len(differ), len(own), len(hub)
+    if apart <= sizes.most_apart(n, m):
+        slack = -(-max(0, n - m) * (100 - sizes.percent) // (100 + sizes.percent)) + 1
+        least = max(1, -(-(apart - slack) // 2))
+    else:
+        least = max(1, apart - sizes.most_apart(n, n * 100 // sizes.percent))
+    return differ[: max(0, apart - least + 1)], apart
+
+
+def links_around(sets: list[np.ndarray], component: np.ndarray, prefixes: list[np.ndarray], apart: np.ndarray, sizes: Sizes) -> list[tuple[int, int]]:
+    """Pairs of a hub's rows, of different components, that reach the threshold: the product over shared n-grams of
+    their prefixes, then over their sets."""
+    lengths = np.array([len(p) for p in prefixes])
+    grams, row = np.concatenate(prefixes), np.repeat(np.arange(len(prefixes)), lengths)
+    place = np.arange(len(grams)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    order = np.argsort(grams, kind="stable")
+    grams, row, place = grams[order], row[order], place[order]
+    n = np.array([len(s) for s in sets])
+    cuts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1], [True]])) if len(grams) else np.zeros(1, int)
+    found: set[int] = set()
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b - a < 2 or (component[row[a:b]] == component[row[a]]).all():
+            continue
+        for i in range(a, b - 1):  # one row of the column's product at a time
+            x, y = row[i], row[i + 1 : b]
+            most = (n[x] + n[y]) * (100 - sizes.percent) // (100 + sizes.percent)
+            rest = np.minimum(apart[x] - place[i], apart[y] - place[i + 1 : b])
+            keep = (component[y] != component[x]) & (np.abs(apart[x] - apart[y]) <= most) & (2 * rest >= apart[x] + apart[y] - most) & (100 * np.minimum(n[x], n[y]) >= sizes.percent * np.maximum(n[x], n[y]))
+            found.update((np.minimum(x, y[keep]) * len(sets) + np.maximum(x, y[keep])).tolist())
+    pairs = [divmod(k, len(sets)) for k in sorted(found)]
+    overlap = lambda i, j: len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+    return [(i, j) for i, j in pairs if (100 + sizes.percent) * overlap(i, j) >= sizes.percent * (n[i] + n[j])]
+
+
 def deltas(sizes: Sizes):
-    """Per block: how each row differs from its first row, as the n-grams that a linked pair must have in common.
+    """Per block, the rows of each hub: their links, if all of them are here; else how each differs from the hub, as the
+    n-grams that a linked pair must have in common.
 
     With D(x) the n-grams in which x and the hub differ, x and y differ in |D(x)| + |D(y)| - 2 |D(x) and D(y)|. If
     they link but not both through the hub, that leaves a least number of common members of D(x) and D(y); so, in
@@ -309,34 +352,25 @@ def deltas(sizes: Sizes):
 
     def run(block, table):
         first: dict[tuple[int, int], bytes] = {}
-        rows = list(zip(*(table.column(c).to_pylist() for c in ("a", "lanes", "lane", "doc_id", "grams")), strict=True))
-        for a, _, lane, doc, grams in rows:
+        groups: dict[tuple[int, int], list[tuple]] = {}
+        for a, lanes, lane, doc, component, grams in zip(*(table.column(c).to_pylist() for c in ("a", "lanes", "lane", "doc_id", "component", "grams")), strict=True):
             if doc == a:
                 first[a, lane] = min(first.get((a, lane), grams), grams)
+            else:
+                groups.setdefault((a, lane), []).append((lanes, doc, component, np.frombuffer(grams, np.uint64)))
         out: list[tuple[np.ndarray, ...]] = []
-        alone: dict[int, list[int]] = {}  # hubs whose rows are all here, and where theirs are in out
-        for a, lanes, lane, doc, grams in rows:
-            if doc == a:
+        for (a, lane), rows in groups.items():
+            hub = np.frombuffer(first[a, lane], np.uint64)
+            made = [prefix(hub, own, sizes) for *_, own in rows]
+            if rows[0][0] == 1:
+                apart = np.array([x for _, x in made])
+                found = links_around([r[3] for r in rows], np.array([r[2] for r in rows]), [p for p, _ in made], apart, sizes)
+                out += [tuple(np.array([v], np.int64) for v in (rows[i][1], 0, LINK, rows[j][1], 0, 0)) for i, j in found]
                 continue
-            hub, own = np.frombuffer(first[a, lane], np.uint64), np.frombuffer(grams, np.uint64)
-            differ = np.concatenate([np.setdiff1d(own, hub, assume_unique=True), np.setdiff1d(hub, own, assume_unique=True)])
-            apart, n, m = len(differ), len(own), len(hub)
-            if apart <= sizes.most_apart(n, m):
-                slack = -(-max(0, n - m) * (100 - sizes.percent) // (100 + sizes.percent)) + 1
-                least = max(1, -(-(apart - slack) // 2))
-            else:
-                least = max(1, apart - sizes.most_apart(n, n * 100 // sizes.percent))
-            keep = differ[: max(0, apart - least + 1)].view(np.int64)
-            same = lambda x: np.full(len(keep), x, np.int64)
-            if lanes == 1:
-                alone.setdefault(a, []).append(len(out))
-            out.append((same(a), keep, np.arange(len(keep)), same(doc), same(n), same(apart)))
-        for at in alone.values():  # an n-gram that only one of them has joins nothing
-            kinds, back, times = np.unique(np.concatenate([out[i][1] for i in at]), return_inverse=True, return_counts=True)
-            shared = np.split(times[back] > 1, np.cumsum([len(out[i][1]) for i in at])[:-1])
-            for i, keep in zip(at, shared, strict=True):
-                out[i] = tuple(x[keep] for x in out[i])
-        names = ("hub", "gram", "place", "rep", "n", "apart")
+            for (_, doc, _, own), (keep, apart) in zip(rows, made, strict=True):
+                same = lambda x, k=len(keep): np.full(k, x, np.int64)
+                out.append((same(a), keep.view(np.int64), np.arange(len(keep)), same(doc), same(len(own)), same(apart)))
+        names = [c.split()[0] for c in GRAMS.split(", ")]
         return pa.table({name: pa.array(np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64), pa.int64()) for k, name in enumerate(names)})
 
     return run
@@ -353,8 +387,9 @@ def in_blocks(pairs: DataFrame, sets: DataFrame, block_grams: int = 1_000_000) -
     counted = pairs.agg(F.sum("n").alias("total"), F.count("*").alias("pairs")).first()
     total = counted["total"] or 0
     lanes = pairs.groupBy("a").agg(F.ceil(F.sum("n") / (block_grams / 2)).cast("int").alias("lanes"))
-    others = pairs.join(lanes, "a").select("a", "lanes", F.pmod(F.xxhash64("b"), F.col("lanes")).cast("int").alias("lane"), F.col("b").alias("doc_id"))
-    firsts = lanes.select("a", "lanes", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.col("a").alias("doc_id"))
+    component = F.col("component") if "component" in pairs.columns else F.lit(None).cast("long")
+    others = pairs.join(lanes, "a").select("a", "lanes", F.pmod(F.xxhash64("b"), F.col("lanes")).cast("int").alias("lane"), F.col("b").alias("doc_id"), component.alias("component"))
+    firsts = lanes.select("a", "lanes", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.col("a").alias("doc_id"), F.lit(None).cast("long").alias("component"))
     rows = others.union(firsts)
     if counted["pairs"] <= FEW_PAIRS:  # then the sets, far larger, stay where they are
         rows = F.broadcast(rows)
@@ -366,8 +401,8 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold: sketches first, then the sets of what they leave."""
     side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("sketch").alias(f"sketch_{s}"), F.col("n").alias(f"n_{s}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sketch_a", "sketch_b", "n_a", "n_b")
-    left = met.mapInArrow(likely(percent), "a long, b long, n long").groupBy("a", "b").agg(F.max("n").alias("n"))
-    return in_blocks(left, sets).groupBy("block").applyInArrow(multiply(percent), "a long, b long").distinct()
+    left = met.mapInArrow(released(likely(percent)), "a long, b long, n long").groupBy("a", "b").agg(F.max("n").alias("n"))
+    return in_blocks(left, sets).groupBy("block").applyInArrow(released(multiply(percent)), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, small: int = 100, block_entries: int = 1_000_000) -> DataFrame:
@@ -375,7 +410,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, small: in
     sizes = Sizes(percent, small)
     limit = small * 100 // percent + 1
     rows = docs.select("doc_id", utf8(F.col("text")).alias("body"))
-    sets = settle(rows.mapInArrow(set_rows(n, limit), "doc_id long, n_shingles long, print binary, grams array<long>"), "sets")
+    sets = settle(rows.mapInArrow(released(set_rows(n, limit)), "doc_id long, n_shingles long, print binary, grams array<long>"), "sets")
     classes = sets.where("n_shingles > 0").groupBy("print", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_class"))
     member = settle(sets.select("doc_id", "n_shingles", "print").join(classes.drop("n_shingles"), "print", "left"), "members")
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
@@ -383,8 +418,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, small: in
 
     # Columns of the larger sets.
     blocks = partitions_for(0.4 * total, block_entries, 1)
-    packed = rows.mapInArrow(column_entries(n, sizes, blocks), "block long, entries binary")
-    shared = packed.groupBy("block").applyInArrow(shared_columns, "column long, doc_id long")
+    packed = rows.mapInArrow(released(column_entries(n, sizes, blocks)), "block long, entries binary")
+    shared = packed.groupBy("block").applyInArrow(released(shared_columns), "column long, doc_id long")
     large = shared.join(node, "doc_id").select("column", "rep", "n_shingles")
 
     # Columns of the smaller sets: their rarest n-grams.
@@ -406,8 +441,8 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, small: in
     wanted = columns.select(F.col("rep").alias("doc_id")).distinct()
     wanted = wanted if more is None else wanted.union(more.select(F.explode(F.array("a", "b")))).distinct()
     wanted = settle(wanted, "wanted")
-    some = rows.mapInArrow(passed(id_filter(wanted)), rows.schema)
-    blobs = settle(some.join(wanted, "doc_id", "left_semi").mapInArrow(set_blobs(n), "doc_id long, grams binary, sketch binary, n long"), "blobs")
+    some = rows.mapInArrow(released(passed(id_filter(wanted))), rows.schema)
+    blobs = settle(some.join(wanted, "doc_id", "left_semi").mapInArrow(released(set_blobs(n)), "doc_id long, grams binary, sketch binary, n long"), "blobs")
     stars = settle(stars if more is None else stars.union(more).distinct(), "stars")
     twice = node.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
     found = connected_components(settle(linked(stars, blobs, percent).union(twice), "links"))
@@ -420,11 +455,11 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, small: in
     x, y = pair(opened.where(F.col("members") <= FEW), ["column"], ["rep", "n_shingles", "component"])
     few = x.join(y, "column").where((F.col("component_x") < F.col("component_y")) & fits("n_shingles_x", "n_shingles_y", percent)).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
 
-    around = opened.where(F.col("members") > FEW).select("column", "rep", "n_shingles").join(hub, "column").where("rep <> hub.rep")
-    around = around.groupBy(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).agg(F.max("n_shingles").alias("n"))
-    grams = in_blocks(around, blobs).groupBy("block").applyInArrow(deltas(sizes), "hub long, gram long, place long, rep long, n long, apart long")
-    grams = grams.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    grams = settle(grams, "grams")
+    around = opened.where(F.col("members") > FEW).select("column", "rep", "n_shingles", "component").join(hub, "column").where("rep <> hub.rep")
+    around = around.groupBy(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).agg(F.max("n_shingles").alias("n"), F.max("component").alias("component"))
+    told = settle(in_blocks(around, blobs).groupBy("block").applyInArrow(released(deltas(sizes)), GRAMS), "deltas")
+    direct = told.where(F.col("place") == LINK).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    grams = told.where(F.col("place") != LINK).join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed_grams = grams.groupBy("hub", "gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("hub", "gram")
     x, y = pair(grams.join(mixed_grams, ["hub", "gram"]), ["hub", "gram"], ["rep", "n", "apart", "place", "component"])
     # A pair that links has a first common n-gram, and what is left from there on in both must suffice.
@@ -433,7 +468,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, small: in
     near = (F.abs(F.col("apart_x") - F.col("apart_y")) <= most_apart) & (2 * rest >= F.col("apart_x") + F.col("apart_y") - most_apart)
     cross = x.join(y, ["hub", "gram"]).where((F.col("component_x") < F.col("component_y")) & fits("n_x", "n_y", percent) & near)
     cross = cross.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).union(few).distinct()
-    late = settle(linked(cross, blobs, percent), "late")
+    late = settle(linked(cross, blobs, percent).union(direct).distinct(), "late")
     of = lambda side: found.select(F.col("node").alias(side), F.col("component").alias(f"{side}_of"))
     bridges = late.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_of", "a").alias("a"), F.coalesce("b_of", "b").alias("b"))
     joined = connected_components(bridges)
