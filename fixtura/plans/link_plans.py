@@ -331,7 +331,7 @@ def hash_chain(t):
     return logs.chain(t.sql(LOG))
 
 
-@plan("LEDG-02", "SELECT 7::BIGINT AS seq, 'payload' AS problem UNION ALL SELECT 31, 'chain' UNION ALL SELECT 31, 'payload'")
+@plan("LEDG-02", "SELECT s_suppkey AS seq, 'payload' AS problem FROM {supplier} WHERE s_suppkey IN (7, 31) UNION ALL SELECT s_suppkey, 'chain' FROM {supplier} WHERE s_suppkey = 31")
 def verified(t):
     made = logs.chain(t.sql(LOG))
     edited = made.withColumn("payload", F.when(F.col("seq") == 7, F.lit("{}")).otherwise(F.col("payload"))).withColumn("prev_hash", F.when(F.col("seq") == 31, F.lit(logs.GENESIS)).otherwise(F.col("prev_hash")))
