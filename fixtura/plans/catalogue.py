@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fixtura.plans import aggregate_plans, canonical_plans, link_plans, model_plans, more_plans, temporal_plans  # noqa: F401
+from fixtura.plans import aggregate_plans, canonical_plans, last_plans, link_plans, model_plans, more_plans, temporal_plans  # noqa: F401
 from fixtura.plans.registry import ORACLES, queries
 from fixtura.plans.views import Tables
 
