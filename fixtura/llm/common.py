@@ -7,7 +7,7 @@ import ctypes
 import functools
 import inspect
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +53,18 @@ def released(function):
     return whole if len(inspect.signature(function).parameters) == 2 else both
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined to at least so many rows: for short rows that are worked on together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if held and any(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 #: Rows that Spark sends to a Python worker at once; texts are long, its own 10,000 are tens of megabytes.
 BATCH_ROWS = "500"
 

@@ -30,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fixtura.llm.common import crc_fold, partitions_for, released, settle, utf8
+from fixtura.llm.common import crc_fold, gathered, partitions_for, released, settle, utf8
 
 END_OF_WORD = "</w>"
+#: Words worked on together.
+TOGETHER = 20_000
 #: Words of one length whose lattices are computed together.
 SLAB = 1 << 14
 HASH = 0x9E3779B97F4A7C15
@@ -164,7 +166,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _expectations(pieces: list, log_p: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, out = Lattice(pieces, log_p), np.zeros(log_p.shape)
-        for batch in batches:
+        for batch in gathered(batches, TOGETHER):
             for _, rows in slabs(batch.column(0).to_pylist()):
                 lattice.expect(rows, out)
         ids = np.flatnonzero(out)
@@ -178,7 +180,7 @@ def _word_scores(pieces: list, log_p: np.ndarray, learnt: int, distinct: int, di
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces, log_p)
-        for batch in batches:
+        for batch in gathered(batches, TOGETHER):
             words = batch.column(0).to_pylist()
             out = np.zeros(len(words))
             for at, rows in slabs(words):
