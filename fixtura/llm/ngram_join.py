@@ -54,7 +54,7 @@ FEW_PAIRS = 100_000
 #: Columns of up to so many members are looked at pair by pair.
 FEW = 16
 #: Entries a task holds before it joins its equal columns and sends them on.
-HELD = 400_000
+HELD = 250_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -67,7 +67,7 @@ class WordHashes(dict):
     """Hashes of words, computed once each while they are held."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
