@@ -35,12 +35,12 @@ from pyspark.sql.window import Window
 from fixtura.llm.common import partitions_for, released, settle, utf8
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words whose ids a worker keeps at hand, from one task to the next (some 60 MB).
-CACHED_WORDS = 300_000
+#: Words whose ids a worker keeps at hand, from one task to the next (some 80 MB).
+CACHED_WORDS = 400_000
 #: A control character that stands between words while many are encoded at once; words that hold it go one by one.
 FENCE = "\x01"
-#: ASCII signs after a small letter are tokens of their own; apart, the word is met more often.
-SIGNS = re.compile(rb"(?<=[a-z])([!-/:-@\[-`{-~])")
+#: ASCII signs after a small letter are tokens of their own: a word that closes with them is the word and the signs.
+CLOSED = re.compile(rb"(.*[a-z])([!-/:-@\[-`{-~]+)", re.S)
 #: Words that show whether the short way agrees with the tokenizer.
 PROBE = ("the", "reading", "straße", "été", "übergröße", "año", "東京", "zq", "internationalisation")
 
@@ -71,9 +71,11 @@ class WordIds:
 
         self.whole = Tokenizer.from_file(path)
         self.letters = byte_letters()
-        self.fence = {False: FENCE, True: FENCE.encode().decode("latin-1").translate(self.letters)}
         parts = json.loads(Path(path).read_text(encoding="utf-8")) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}
         self.merges = Tokenizer.from_str(json.dumps(parts))
+        vocabulary, suffix = self.whole.get_vocab(), parts["model"].get("end_of_word_suffix") or "\n"
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # tokens that end a word
+        self.last[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
         probe = [w.encode() for w in PROBE]
         self.lower = self.whole.encode("A").ids == self.whole.encode("a").ids
         self.short = self.lower and self.encode(probe, True) == [self.one(w) for w in probe]
@@ -83,15 +85,22 @@ class WordIds:
         return np.array(self.whole.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, words: list[bytes], short: bool) -> list[bytes]:
-        tokenizer, fence = (self.merges if short else self.whole), self.fence[short]
-        text = [w.decode("latin-1").translate(self.letters) for w in words] if short else [w.decode("utf-8", "replace") for w in words]
-        ids = np.array(tokenizer.encode_batch_fast([f" {fence} ".join(text)], add_special_tokens=False)[0].ids, dtype="<u4")
-        mark = tokenizer.encode_batch_fast([fence], add_special_tokens=False)[0].ids
-        cuts = (4 * np.flatnonzero(ids == mark[0])).tolist() if len(mark) == 1 else []
-        if len(cuts) != len(words) - 1:
+        """The ids of each word. Short ways know a word's end by its last token, the whole tokenizer by a fence."""
+        if short:
+            text = " ".join([w.decode("latin-1").translate(self.letters) for w in words])
+            ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            starts = [0, *ends[:-1]]
+        else:
+            text = f" {FENCE} ".join([w.decode("utf-8", "replace") for w in words])
+            ids = np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            mark = self.whole.encode(FENCE, add_special_tokens=False).ids
+            cuts = (4 * np.flatnonzero(ids == mark[0])).tolist() if len(mark) == 1 else []
+            starts, ends = [0, *[c + 4 for c in cuts]], [*cuts, 4 * len(ids)]
+        if len(ends) != len(words):
             return [self.one(w) for w in words]
         data = ids.tobytes()
-        return [data[a:b] for a, b in zip([0, *[c + 4 for c in cuts]], [*cuts, len(data)], strict=True)]
+        return [data[a:b] for a, b in zip(starts, ends, strict=True)]
 
     def plain(self, word: bytes) -> bool:
         if word.isalpha():  # ASCII letters; they are small by now
@@ -100,17 +109,23 @@ class WordIds:
         return text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text)
 
     def learn(self, words: set[bytes]) -> None:
+        known, closed = self.known, {}
+        if self.lower:
+            closed = {w: m.groups() for w in words if not w.isalpha() and (m := CLOSED.fullmatch(w))}
+            words = words.difference(closed).union(*closed.values()).difference(known)
         plain = [w for w in words if self.plain(w)] if self.short else []
         other = words.difference(plain) if plain else words
         for short, part in ((True, plain), (False, [w for w in other if FENCE.encode() not in w])):
             for i in range(0, len(part), 4096):
-                self.known.update(zip(part[i : i + 4096], self.encode(part[i : i + 4096], short), strict=True))
+                known.update(zip(part[i : i + 4096], self.encode(part[i : i + 4096], short), strict=True))
         for w in other:
-            if w not in self.known:
-                self.known[w] = self.one(w)
+            if w not in known:
+                known[w] = self.one(w)
+        for w, (word, signs) in closed.items():
+            known[w] = known[word] + known[signs]
 
     def __call__(self, text: bytes) -> bytes:
-        words = SIGNS.sub(rb" \1", text.lower()).split() if self.lower else text.split()
+        words = (text.lower() if self.lower else text).split()
         if new := set(words).difference(self.known):
             if len(self.known) + len(new) > CACHED_WORDS:
                 self.known.clear()
