@@ -63,7 +63,8 @@ class WordIds:
 
     A word of small letters in normal form needs no normalisation and no splitting: it goes to the merges alone, as
     its bytes' letters (the short way). Any other word takes the whole tokenizer, and so does all if the two
-    disagree on PROBE."""
+    disagree on PROBE. Added tokens are matched in raw text, case and all: a word that holds one, in any case, goes
+    through the whole tokenizer as it was written, neither lower-cased nor split."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -73,6 +74,7 @@ class WordIds:
         self.letters = byte_letters()
         parts = json.loads(Path(path).read_text(encoding="utf-8")) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}
         self.merges = Tokenizer.from_str(json.dumps(parts))
+        self.added = [t["content"].encode().lower() for t in parts.get("added_tokens", [])]
         vocabulary, suffix = self.whole.get_vocab(), parts["model"].get("end_of_word_suffix") or "\n"
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # tokens that end a word
         self.last[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
@@ -102,6 +104,10 @@ class WordIds:
         data = ids.tobytes()
         return [data[a:b] for a, b in zip(starts, ends, strict=True)]
 
+    def special(self, word: bytes) -> bool:
+        low = word.lower()
+        return any(a in low for a in self.added)
+
     def plain(self, word: bytes) -> bool:
         if word.isalpha():  # ASCII letters; they are small by now
             return True
@@ -111,7 +117,7 @@ class WordIds:
     def learn(self, words: set[bytes]) -> None:
         known, closed = self.known, {}
         if self.lower:
-            closed = {w: m.groups() for w in words if not w.isalpha() and (m := CLOSED.fullmatch(w))}
+            closed = {w: m.groups() for w in words if not w.isalpha() and (m := CLOSED.fullmatch(w)) and not self.special(w)}
             words = words.difference(closed).union(*closed.values()).difference(known)
         plain = [w for w in words if self.plain(w)] if self.short else []
         other = words.difference(plain) if plain else words
@@ -125,7 +131,10 @@ class WordIds:
             known[w] = known[word] + known[signs]
 
     def __call__(self, text: bytes) -> bytes:
-        words = (text.lower() if self.lower else text).split()
+        low = text.lower() if self.lower else text
+        words = low.split()
+        if self.lower and self.special(low):
+            words = [raw if self.special(w) else w for w, raw in zip(words, text.split(), strict=True)]
         if new := set(words).difference(self.known):
             if len(self.known) + len(new) > CACHED_WORDS:
                 self.known.clear()

@@ -346,6 +346,18 @@ def test_dominance_keeps_an_optimum():
         assert sum(t for _, t in fixed) + least_bins(rest, 20) == least_bins(sizes, 20)
 
 
+def test_added_tokens_are_matched_as_written(spark):
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    texts = ["<|endoftext|>", "foo<|endoftext|>", "x<|ENDOFTEXT|>y", "A <|EndOfText|> B", "<|STARTOFTEXT|>!", "foo<|endoftext|>!! foo!!", "<|startoftext|>Hi There<|endoftext|>. <|ENDOFTEXT|>\tend<|endoftext|><|endoftext|>é"]
+    texts += [f"{t} \x01 {t}\x01" for t in texts] + [" ".join(texts)]
+    expected = [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert expected[0] == [49407, 0] and 49407 not in expected[2]
+    encode = packing.WordIds(VOCABULARY)
+    assert [np.frombuffer(encode(t.encode()), "<u4").tolist() for t in texts] == [ids[:-1] for ids in expected]
+    got = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), VOCABULARY, 2048).collect()
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in got} == {k: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for k, ids in enumerate(expected)}
+
+
 def test_slots_hold_every_piece():
     rnd = random.Random(9)
     for _ in range(40):
