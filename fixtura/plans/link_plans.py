@@ -489,6 +489,12 @@ def late_rows(t):
     return quality.available_before(met, "l_shipdate", "o_orderdate").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
+@plan("VAL-02b", "SELECT l_orderkey, l_linenumber, l_partkey FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_shipdate > o_orderdate")
+def all_late_rows(t):
+    met = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return quality.available_before(met, "l_shipdate", "o_orderdate").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
 @plan("VAL-04", "SELECT event_id, concat_ws(';', CASE WHEN NOT (value >= 1) THEN 'value_floor' END, CASE WHEN NOT (event_type <> 'error' OR value < 100) THEN 'error_value' END) AS broken FROM {events} WHERE NOT (value >= 1) OR NOT (event_type <> 'error' OR value < 100)")
 def broken_rules(t):
     rules = {"value_floor": F.col("value") >= 1, "error_value": (F.col("event_type") != "error") | (F.col("value") < 100)}

@@ -25,5 +25,10 @@ def test_runs(spark, name):
     rows.collect()
 
 
+def test_late_rows_of_every_order_are_reported(spark):
+    rows = QUERIES["VAL-02b"](spark, DATA).collect()
+    assert {r.l_orderkey % 50 for r in rows} == {r.o_orderkey % 50 for r in spark.read.parquet(f"{DATA}/orders.parquet").collect()}
+
+
 def test_flagship_has_rows(spark):
     assert catalogue.flagship(spark, DATA).limit(1).count() == 1
