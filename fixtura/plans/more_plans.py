@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from fixtura.functions import extension, hashing, parse, probs, text
 from fixtura.operators import backtest, blend, feedback, graph, metrics, models, overlay, quality, ratings, signals, squads, temporal
 from fixtura.plans import link_plans
-from fixtura.plans.model_plans import goal_rows, six, top_cells
+from fixtura.plans.model_plans import CELLS, goal_rows, six, top_cells
 from fixtura.plans.registry import dated, plan
 from fixtura.plans.views import TABLES
 from fixtura.shared import scratch_path
@@ -381,6 +381,14 @@ def forecasts(t):
     return t("v_preds").select("k", "p0", "p1", "p2", F.col("home_score").alias("home_goals"), F.col("away_score").alias("away_goals"), home.alias("home_rate"), away.alias("away_rate")).join(lines, "k")
 
 
+@plan("ARR-03b", f"WITH {CELLS}, o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(p, 9) DESC, h, a) AS place FROM cells) SELECT k, coalesce(string_agg(h || '-' || a, ',' ORDER BY place) FILTER (place <= k % 4), '') AS lines, round(coalesce(sum(p) FILTER (place <= k % 4), 0), 6) AS p, count(*) FILTER (place <= k % 4) AS n FROM o WHERE place <= 3 GROUP BY k")
+def scoreline_prefixes(t):
+    """The first 0 to 3 scorelines of every forecast."""
+    rows = forecasts(t).select("k", F.slice("scorelines", F.lit(1), (F.col("k") % 4).cast("int")).alias("l"))
+    names = F.array_join(F.transform("l", lambda x: F.concat_ws("-", x["home"], x["away"])), ",")
+    return six(rows.select("k", names.alias("lines"), F.aggregate("l", F.lit(0.0), lambda s, x: s + x["p"]).alias("p"), F.size("l").cast("long").alias("n")))
+
+
 @plan("MET-13", "SELECT k, CASE WHEN home_score > away_score THEN 'home_win' WHEN home_score = away_score THEN 'draw' ELSE 'away_win' END AS actual_outcome, round(CASE label WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END, 6) AS probability_of_actual, round(-ln(CASE label WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END), 6) AS log_loss, round(abs(exp(0.6 + 0.4 * elo_diff / 400) - home_score), 6) AS home_goal_error FROM {v_preds}")
 def scored(t):
     return six(feedback.score_forecasts(forecasts(t)).select("k", "actual_outcome", "probability_of_actual", "log_loss", "home_goal_error"))

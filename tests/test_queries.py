@@ -25,6 +25,12 @@ def test_runs(spark, name):
     rows.collect()
 
 
+def test_scoreline_prefixes_are_cut_from_real_arrays(spark):
+    rows = QUERIES["ARR-03b"](spark, DATA).collect()
+    assert rows and {r.n for r in rows} == {0, 1, 2, 3}
+    assert all(r.n == r.k % 4 == len(r.lines.split(",") if r.lines else ()) for r in rows)
+
+
 def test_late_rows_of_every_order_are_reported(spark):
     rows = QUERIES["VAL-02b"](spark, DATA).collect()
     assert {r.l_orderkey % 50 for r in rows} == {r.o_orderkey % 50 for r in spark.read.parquet(f"{DATA}/orders.parquet").collect()}
