@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from fixtura.functions.hashing import hash_uniform
 from fixtura.functions.probs import skellam_outcomes
+from fixtura.shared import refuse
 
 
 def cumulative(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -146,3 +147,34 @@ def reweighted(cells: DataFrame, keys: list[str], home: str, draw: str, away: st
     masses = rows.groupBy(*keys, "region").agg(F.sum("p").alias("mass"))
     target = F.when(F.col("region") == "home", F.col(home)).when(F.col("region") == "draw", F.col(draw)).otherwise(F.col(away))
     return rows.join(masses, [*keys, "region"]).withColumn("p", F.when(F.col("mass") > 1e-12, F.col("p") * target / F.col("mass")).otherwise(F.lit(0.0))).drop("mass", "region")
+
+
+def completed_problems(fixtures: DataFrame, active: DataFrame) -> DataFrame:
+    """fixture_id and what is wrong with it, for each active result (fixture_id, regulation_home_goals,
+    regulation_away_goals) that is not fixed exactly once, with equal goals, among the fixtures (fixture_id, played,
+    home_goals, away_goals). A result that is given twice is wrong too."""
+    goals = F.struct(F.col("regulation_home_goals").alias("h"), F.col("regulation_away_goals").alias("a"))
+    wanted = active.groupBy("fixture_id").agg(F.count("*").alias("given"), F.max(goals).alias("goals"))
+    played = F.coalesce("played", F.lit(False))
+    same = F.col("home_goals").eqNullSafe(F.col("goals.h")) & F.col("away_goals").eqNullSafe(F.col("goals.a"))
+    sides = fixtures.select("fixture_id", played.alias("played"), "home_goals", "away_goals", F.lit(True).alias("there"))
+    met = wanted.join(sides, "fixture_id", "left").groupBy("fixture_id").agg(
+        F.max("given").alias("given"),
+        F.count_if("played").alias("fixed"),
+        F.count_if(F.col("there") & ~F.col("played")).alias("open"),
+        F.count_if(F.col("played") & ~same).alias("differ"),
+    )
+    rules = F.array_compact(F.array(
+        F.when(F.col("given") > 1, "given_twice"),
+        F.when(F.col("fixed") == 0, "missing"),
+        F.when(F.col("fixed") > 1, "repeated"),
+        F.when(F.col("open") > 0, "not_fixed"),
+        F.when(F.col("differ") > 0, "goals_differ"),
+    ))
+    return met.select("fixture_id", F.array_join(rules, ";").alias("problems")).where("problems <> ''")
+
+
+def validate_completed(fixtures: DataFrame, active: DataFrame) -> DataFrame:
+    """The fixtures that active results fix; an error if one of the results is not fixed exactly once as given."""
+    refuse(completed_problems(fixtures, active), "completed overlay mismatch")
+    return fixtures.join(active.select("fixture_id"), "fixture_id", "left_semi")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fixtura.functions import extension, hashing, parse, probs, text
-from fixtura.operators import backtest, blend, feedback, graph, metrics, models, overlay, quality, ratings, signals, squads, temporal
+from fixtura.operators import backtest, blend, feedback, graph, metrics, models, overlay, quality, ratings, signals, simulate, squads, temporal
 from fixtura.plans import link_plans
 from fixtura.plans.model_plans import CELLS, goal_rows, six, top_cells
 from fixtura.plans.registry import dated, plan
@@ -513,6 +513,25 @@ def completed(t):
     return t("v_fixtures").where("played and fixture_id % 2 = 0").select("fixture_id")
 
 
+def active_results(t):
+    return t("v_fixtures").where("played").select("fixture_id", F.col("home_goals").alias("regulation_home_goals"), F.col("away_goals").alias("regulation_away_goals"))
+
+
+@plan("SIM-13b", "SELECT fixture_id, home_goals, away_goals FROM {v_fixtures} WHERE played")
+def completed_overlay(t):
+    return simulate.validate_completed(t("v_fixtures"), active_results(t)).select("fixture_id", "home_goals", "away_goals")
+
+
+@plan("SIM-13c", "SELECT fixture_id, concat_ws(';', CASE WHEN fixture_id % 3 = 0 THEN 'missing' END, CASE WHEN fixture_id % 4 = 1 AND fixture_id % 3 > 0 THEN 'repeated' END, CASE WHEN fixture_id % 3 = 0 AND fixture_id % 2 = 0 THEN 'not_fixed' END, CASE WHEN fixture_id % 5 < 2 AND fixture_id % 3 > 0 THEN 'goals_differ' END) AS problems FROM {v_fixtures} WHERE played AND (fixture_id % 3 = 0 OR fixture_id % 4 = 1 OR fixture_id % 5 < 2)")
+def overlay_mismatches(t):
+    """All fixtures with faults put in: some left out or not played, some twice, some with another score."""
+    f, k = t("v_fixtures"), F.col("fixture_id")
+    faulty = f.where("not played or fixture_id % 3 > 0 or fixture_id % 2 = 0").withColumn("played", F.col("played") & (k % 3 > 0))
+    faulty = faulty.unionByName(faulty.where("fixture_id % 4 = 1"))
+    results = active_results(t).withColumn("regulation_home_goals", F.col("regulation_home_goals") + (k % 5 < 2).cast("int"))
+    return simulate.completed_problems(faulty, results)
+
+
 @plan("SIM-15b", "SELECT k, round(p0 / (p0 + p2), 6) AS share FROM {v_preds}")
 def ensemble_share(t):
     return six(t("v_preds").select("k", (F.col("p0") / (F.col("p0") + F.col("p2"))).alias("share")))

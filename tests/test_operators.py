@@ -264,3 +264,13 @@ def test_required_columns(spark):
     with pytest.raises(SchemaError, match="b"):
         require_columns(spark.range(1), ["id", "b"], "t")
     assert issubclass(DataError, ValueError)
+
+
+def test_completed_overlay_is_fixed_exactly_once(spark):
+    fixtures = spark.createDataFrame([(1, True, 2, 1), (2, True, 0, 0), (2, True, 0, 0), (3, False, 1, 1), (4, True, 1, 0), (6, True, 3, 3), (6, False, 3, 3), (7, True, 1, 1), (8, False, None, None), (9, True, None, 0)], "fixture_id long, played boolean, home_goals int, away_goals int")
+    results = lambda *rows: spark.createDataFrame(list(rows), "fixture_id long, regulation_home_goals int, regulation_away_goals int")
+    found = simulate.completed_problems(fixtures, results((1, 2, 1), (2, 0, 0), (3, 1, 1), (4, 0, 1), (5, 0, 0), (6, 3, 3), (7, 1, 1), (7, 1, 1), (9, 0, 0)))
+    assert {r.fixture_id: r.problems for r in found.collect()} == {2: "repeated", 3: "missing;not_fixed", 4: "goals_differ", 5: "missing", 6: "not_fixed", 7: "given_twice", 9: "goals_differ"}
+    assert [r.fixture_id for r in simulate.validate_completed(fixtures, results((1, 2, 1))).collect()] == [1]
+    with pytest.raises(DataError):
+        simulate.validate_completed(fixtures, results((1, 2, 1), (4, 0, 1)))
