@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fixtura.shared import DataError
-from fixtura.sources.delimited import optional
+from fixtura.sources.delimited import numbered, optional, scan
 
 SCHEMAS = {
     "market_odds": "match_id string, source string, team_a string, team_b string, team_a_odds double, draw_odds double, team_b_odds double, timestamp string",
@@ -75,3 +76,69 @@ def load_context(spark: SparkSession, folder: str) -> DataFrame:
     if twice := rows.groupBy("key").count().where("count > 1").limit(5).collect():
         raise DataError(f"match_context: repeated keys {[r['key'] for r in twice]}")
     return rows.drop("broken")
+
+
+KNOCKOUT_COLUMNS = ("match_number", "round", "team_a", "team_b", "score_a", "score_b", "aet", "penalties", "winner")
+#: Last match number of each round; the first round starts at 73.
+ROUND_ENDS = {"round_of_32": 88, "round_of_16": 96, "quarterfinal": 100, "semifinal": 102, "third_place": 103, "final": 104}
+TRUE, FALSE = ("true", "1", "yes", "y", "t"), ("false", "0", "no", "n", "f", "")
+#: Cells that stand for no value.
+MISSING = ("#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
+
+def check_knockout(rows: DataFrame) -> DataFrame:
+    """Knockout results as text with their source_row: typed, and all problems of each row. A row whose match number
+    is no integer, or came before, has that one problem."""
+    cell = lambda c: F.trim(F.when(F.col(c).isin(*MISSING), "").otherwise(F.col(c)))
+    number = F.when(cell("match_number").rlike(r"^[+-]?[0-9]+$"), cell("match_number").try_cast("decimal(38,0)"))
+    score = lambda c: F.when(cell(c).rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), cell(c).try_cast("double").try_cast("int"))
+    blank = lambda c: F.lower(cell(c)).isin("", "nan")
+    flag = lambda c: F.lower(cell(c)).isin(*TRUE)
+    expected = F.lit(None).cast("string")
+    for name, last in reversed(ROUND_ENDS.items()):
+        expected = F.when((F.col("number") >= 73) & (F.col("number") <= last), name).otherwise(expected)
+    nth = F.row_number().over(Window.partitionBy("number").orderBy("source_row"))
+    made = rows.withColumn("number", number).withColumn("nth", F.when(F.col("number").isNotNull(), nth)).withColumn("expected", expected)
+    names = [cell(c).alias(c) for c in ("round", "team_a", "team_b", "winner")]
+    notes = (cell("notes") if "notes" in rows.columns else F.lit("")).alias("notes")
+    flags = [flag(c).alias(c) for c in ("aet", "penalties")] + [(~F.lower(cell(c)).isin(*TRUE, *FALSE)).alias(f"odd_{c}") for c in ("aet", "penalties")]
+    points = [F.when(score(c) >= 0, score(c)).alias(c) for c in ("score_a", "score_b")] + [F.when(~blank(c), F.when(score(c).isNull(), f"{c}_not_integer").when(score(c) < 0, f"{c}_negative")).alias(f"odd_{c}") for c in ("score_a", "score_b")]
+    made = made.select("source_row", "number", "nth", "expected", *names, *points, *flags, notes)
+    a, b, w = F.col("score_a"), F.col("score_b"), F.col("winner")
+    shootout = F.col("penalties")
+    by_score = F.when(a > b, F.col("team_a")).otherwise(F.col("team_b"))
+    rules = F.array_compact(F.array(
+        F.col("odd_score_a"),
+        F.col("odd_score_b"),
+        F.when(F.col("odd_aet"), "aet_not_boolean"),
+        F.when(F.col("odd_penalties"), "penalties_not_boolean"),
+        F.when(F.col("expected").isNull(), "number_range").when(F.col("round") != F.col("expected"), "round"),
+        F.when((F.col("team_a") == "") | (F.col("team_b") == ""), "team_missing"),
+        F.when(F.col("team_a") == F.col("team_b"), "same_team"),
+        F.when((w != F.col("team_a")) & (w != F.col("team_b")), "winner"),
+        F.when(shootout & ~F.col("aet"), "penalties_without_aet"),
+        F.when(a.isNull() != b.isNull(), "one_score"),
+        F.when(shootout & (a != b), "shootout_not_level"),
+        F.when(~shootout & (a == b), "level_without_shootout"),
+        F.when(~shootout & (a != b) & (w != by_score), "winner_contradicts_score"),
+    ))
+    first = F.when(F.col("number").isNull(), F.array(F.lit("number_not_integer"))).when(F.col("nth") > 1, F.array(F.lit("duplicate")))
+    kept = ["source_row", F.col("number").alias("match_number"), "round", "team_a", "team_b", "score_a", "score_b", "aet", "penalties", "winner", "notes"]
+    return made.select(*kept, F.array_join(F.coalesce(first, rules), ";").alias("problems"))
+
+
+def scan_knockout(spark: SparkSession, path: str) -> DataFrame:
+    """Every row of the file at path, checked."""
+    return check_knockout(numbered(scan(spark, path, KNOCKOUT_COLUMNS).drop("source_file"), first=1))
+
+
+def load_knockout(spark: SparkSession, path: str, required: bool = False) -> DataFrame:
+    """Confirmed results, one row per match number; an error that names all problems of all rows if there are any. A
+    missing file is an empty table unless it is required."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return optional(spark, path, SCHEMAS["knockout_results"], required)
+    rows = scan_knockout(spark, path)
+    if bad := rows.where("problems <> ''").select("source_row", "match_number", "problems").orderBy("source_row").collect():
+        raise DataError(f"invalid knockout results: {[(r['source_row'], r['match_number'] and int(r['match_number']), r['problems']) for r in bad]}")
+    return rows.drop("source_row", "problems").withColumn("match_number", F.col("match_number").cast("int"))

@@ -119,3 +119,24 @@ def test_ratings_go_on_from_batch_to_batch(spark, tmp_path):
     rate(df.where("date >= '2020-02-10'"), 1)
     final = {r.team: r.rating for r in spark.read.parquet(f"{tmp_path}/ratings/v1").collect()}
     assert final == pytest.approx(state)
+
+
+def test_knockout_loader_names_all_problems(spark, tmp_path):
+    header = "match_number,round,team_a,team_b,score_a,score_b,aet,penalties,winner,notes\n"
+    (tmp_path / "good.csv").write_text(header + " 73 ,round_of_32,A,B,2,1,,NA,A,x\n89,round_of_16,C,D,1.0,1,Yes,TRUE,D,\n104,final,A,D,,,false,0,A,\n")
+    good = manual.load_knockout(spark, str(tmp_path / "good.csv")).orderBy("match_number").collect()
+    assert [(r.match_number, r.score_a, r.score_b, r.aet, r.penalties, r.winner, r.notes) for r in good] == [(73, 2, 1, False, False, "A", "x"), (89, 1, 1, True, True, "D", ""), (104, None, None, False, False, "A", "")]
+    lines = ["x,final,A,B,1,0,,,A,", "74,round_of_32,A,B,1,0,,,A,", "74,oops,A,A,1,1,,,Z,", "72,final,A,B,1,0,,,A,", "75,final,,B,-1,b,maybe,1,Z,", "76,round_of_32,A,B,2,1,1,1,A,", "77,round_of_32,A,A,1,1,,,A,", "78,round_of_32,A,B,0,1,,,A,", "79,round_of_32,A,B,1,,,perhaps,A,"]
+    (tmp_path / "bad.csv").write_text(header + "\n".join(lines) + "\n")
+    found = manual.scan_knockout(spark, str(tmp_path / "bad.csv")).orderBy("source_row").collect()
+    expected = ["number_not_integer", "", "duplicate", "number_range", "score_a_negative;score_b_not_integer;aet_not_boolean;round;team_missing;winner;penalties_without_aet", "shootout_not_level", "same_team;level_without_shootout", "winner_contradicts_score", "penalties_not_boolean;one_score"]
+    assert [r.problems for r in found] == expected
+    with pytest.raises(DataError) as e:
+        manual.load_knockout(spark, str(tmp_path / "bad.csv"))
+    assert all(p in str(e.value) for p in expected)
+    assert manual.load_knockout(spark, str(tmp_path / "none.csv")).count() == 0
+    with pytest.raises(FileNotFoundError):
+        manual.load_knockout(spark, str(tmp_path / "none.csv"), required=True)
+    (tmp_path / "short.csv").write_text("match_number,round\n73,final\n")
+    with pytest.raises(SchemaError):
+        manual.load_knockout(spark, str(tmp_path / "short.csv"))
