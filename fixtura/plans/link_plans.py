@@ -538,6 +538,13 @@ def accents(t):
     return rows.select("doc_id", (F.lower(F.translate(first, text.ACCENTED, text.PLAIN)) == F.lower(first)).alias("plain"), F.count("*").over(Window.partitionBy()).alias("n"))
 
 
+@plan("STR-02b")
+def whole_text_keys(t):
+    """Both normalisers over the whole text of every document, as hashes; tests hold them against plain Python."""
+    keys = t("documents").select("doc_id", "lang", text.plain_key(F.col("text")).alias("plain"), text.folded_key(F.col("text")).alias("folded"))
+    return keys.select("doc_id", "lang", F.sha2("plain", 256).alias("plain"), F.sha2("folded", 256).alias("folded"))
+
+
 @plan("STR-04", "SELECT p_partkey, array_to_string(list_sort(string_split(lower(p_name), ' ')), ' ') AS key FROM {part}")
 def token_keys(t):
     return t("part").select("p_partkey", text.token_key(F.col("p_name")).alias("key"))

@@ -1,9 +1,15 @@
 """Every registered query with an oracle, on the smallest tables; the others run and give rows."""
 
+import hashlib
+import re
+import unicodedata
+from collections import Counter
+
 import pytest
 from oracle import DATA, assert_same, connect
 
-from fixtura.plans import catalogue
+from fixtura.functions import text
+from fixtura.plans import catalogue, link_plans
 
 QUERIES, ORACLES = catalogue.queries(), catalogue.oracle_sql()
 
@@ -36,5 +42,32 @@ def test_late_rows_of_every_order_are_reported(spark):
     assert {r.l_orderkey % 50 for r in rows} == {r.o_orderkey % 50 for r in spark.read.parquet(f"{DATA}/orders.parquet").collect()}
 
 
+def whole_keys(name):
+    """(plain, folded) by plain Python."""
+    if name is None:
+        return None, None
+    plain = "".join(dict(zip(text.ACCENTED, text.PLAIN, strict=True)).get(c, c) for c in name).lower()
+    folded = "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c)).casefold()
+    return re.sub(r"[ \t\n\x0b\f\r]+", " ", plain.strip(" ")), " ".join(folded.split())
+
+
+def hashed(key):
+    return None if key is None else hashlib.sha256(key.encode()).hexdigest()
+
+
+def test_whole_texts_of_every_language_are_normalised(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang", "text").collect()
+    got = QUERIES["STR-02b"](spark, DATA).collect()
+    assert Counter(map(tuple, got)) == Counter((r.doc_id, r.lang, *map(hashed, whole_keys(r.text))) for r in docs)
+
+
+def test_accents_past_the_first_letter_and_outside_latin_are_folded(spark):
+    texts = ["Real  São\tTomé", "Ko\u0301benhavn ", "STRASSE Straße", "Ünï\u2003CÔTE d’Ivoire", "Ελλάδα ΌΧΙ", "\ufb01n Ⅳ", "Ёлка", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "'xx' AS lang", "text")
+    got = {r.doc_id: r.folded for r in link_plans.whole_text_keys(lambda name: rows).collect()}
+    keys = ["real sao tome", "kobenhavn", "strasse strasse", "uni cote d’ivoire", "ελλαδα οχι", "fin iv", "елка", "", None]
+    assert got == {k: hashed(key) for k, key in enumerate(keys)}
+
+
 def test_flagship_has_rows(spark):
     assert catalogue.flagship(spark, DATA).limit(1).count() == 1
