@@ -4,6 +4,7 @@ import hashlib
 import json
 
 import pytest
+from games import matches, plain_elo
 from pyspark.sql import functions as F
 
 from fixtura.shared import DataError, SchemaError
@@ -110,8 +111,6 @@ def test_latest_wins_stream(spark, tmp_path):
 
 
 def test_ratings_go_on_from_batch_to_batch(spark, tmp_path):
-    from test_operators import matches, plain_elo
-
     df, rows = matches(spark, 60)
     expected, state = plain_elo(rows)
     rate = results.rating_batches(str(tmp_path))
