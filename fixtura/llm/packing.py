@@ -14,11 +14,10 @@ very long text is cut into full pieces and a rest; an empty table gives an empty
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
-import sys
-import types
 import unicodedata
 import zlib
 from bisect import bisect_right
@@ -35,20 +34,14 @@ from pyspark.sql.window import Window
 from fixtura.llm.common import partitions_for, released, settle, utf8
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words whose ids a worker keeps at hand, from one task to the next (some 80 MB).
-CACHED_WORDS = 400_000
+#: Words whose ids are kept from the texts before, in either of two generations (some 25 MB each) and for one task.
+KEPT_WORDS = 150_000
+#: Bytes of text whose new words are encoded together.
+CHUNK = 1 << 18
 #: A control character that stands between words while many are encoded at once; words that hold it go one by one.
 FENCE = "\x01"
 #: ASCII signs after a small letter are tokens of their own: a word that closes with them is the word and the signs.
 CLOSED = re.compile(rb"(.*[a-z])([!-/:-@\[-`{-~]+)", re.S)
-#: Words that show whether the short way agrees with the tokenizer.
-PROBE = ("the", "reading", "straße", "été", "übergröße", "año", "東京", "zq", "internationalisation")
-
-
-def worker_cache(key: tuple) -> dict[bytes, bytes]:
-    """A dictionary that lives as long as the Python worker."""
-    held = sys.modules.setdefault("fixtura_worker_cache", types.ModuleType("fixtura_worker_cache"))
-    return held.__dict__.setdefault(repr(key), {})
 
 
 def byte_letters() -> dict[int, str]:
@@ -58,30 +51,46 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def splits_letters_from_signs(parts: dict) -> tuple[bool, bool]:
+    """(whether A-Z are lowered, whether a small word of letters, and signs after it, reach the merges unchanged and
+    apart), as a tokenizer's own description says: it normalises to NFC, white space and lower case only, and splits
+    runs of letters, digits and other signs, where no earlier way to split begins with a letter or is signs alone."""
+    kinds = [n["type"] for n in (parts.get("normalizer") or {}).get("normalizers", [])]
+    steps = (parts.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    ways = steps[0].get("pattern", {}).get("Regex", "").split("|") if steps and steps[0]["type"] == "Split" else []
+    early = [w for w in ways if not w.startswith("[")]
+    plain = set(kinds) <= {"NFC", "Replace", "Lowercase"} and "[\\p{L}]+" in ways and "[^\\s\\p{L}\\p{N}]+" in ways
+    plain = plain and all(w[0] == "'" and w[1:].isalpha() for w in early) and [s["type"] for s in steps[1:]] == ["ByteLevel"]
+    plain = plain and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"] and bool(parts["model"].get("end_of_word_suffix"))
+    return "Lowercase" in kinds, plain and "Lowercase" in kinds
+
+
 class WordIds:
     """Ids of words as little-endian 32-bit numbers. Tokens never span white space, so a word is encoded once.
 
     A word of small letters in normal form needs no normalisation and no splitting: it goes to the merges alone, as
-    its bytes' letters (the short way). Any other word takes the whole tokenizer, and so does all if the two
-    disagree on PROBE. Added tokens are matched in raw text, case and all: a word that holds one, in any case, goes
-    through the whole tokenizer as it was written, neither lower-cased nor split."""
+    its bytes' letters (the short way), if the tokenizer's description allows it. Any other word takes the whole
+    tokenizer. Added tokens are matched in raw text, case and all: a word that holds one, in any case, goes through
+    the whole tokenizer as it was written, neither lower-cased nor split. Words of the last texts are kept in two
+    generations: when the younger one is full it becomes the older one, so frequent words are never lost."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
+        parts = json.loads(Path(path).read_text(encoding="utf-8"))
         self.whole = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.whole.model)  # the same model, not a copy
+        self.merges.pre_tokenizer = WhitespaceSplit()
         self.letters = byte_letters()
-        parts = json.loads(Path(path).read_text(encoding="utf-8")) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}}
-        self.merges = Tokenizer.from_str(json.dumps(parts))
         self.added = [t["content"].encode().lower() for t in parts.get("added_tokens", [])]
-        vocabulary, suffix = self.whole.get_vocab(), parts["model"].get("end_of_word_suffix") or "\n"
-        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # tokens that end a word
-        self.last[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
-        probe = [w.encode() for w in PROBE]
-        self.lower = self.whole.encode("A").ids == self.whole.encode("a").ids
-        self.short = self.lower and self.encode(probe, True) == [self.one(w) for w in probe]
-        self.known = worker_cache(("ids", path))
+        vocabulary, suffix = parts["model"]["vocab"], parts["model"].get("end_of_word_suffix") or "\n"
+        self.last = np.zeros(max([*vocabulary.values(), *(t["id"] for t in parts.get("added_tokens", []))]) + 1, dtype=bool)
+        self.last[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True  # tokens that end a word
+        self.lower, self.short = splits_letters_from_signs(parts)
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def one(self, word: bytes) -> bytes:
         return np.array(self.whole.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -116,7 +125,7 @@ class WordIds:
 
     def learn(self, words: set[bytes]) -> None:
         known, closed = self.known, {}
-        if self.lower:
+        if self.short:
             closed = {w: m.groups() for w in words if not w.isalpha() and (m := CLOSED.fullmatch(w)) and not self.special(w)}
             words = words.difference(closed).union(*closed.values()).difference(known)
         plain = [w for w in words if self.plain(w)] if self.short else []
@@ -130,32 +139,63 @@ class WordIds:
         for w, (word, signs) in closed.items():
             known[w] = known[word] + known[signs]
 
-    def __call__(self, text: bytes) -> bytes:
+    def words(self, text: bytes) -> list[bytes]:
         low = text.lower() if self.lower else text
         words = low.split()
         if self.lower and self.special(low):
             words = [raw if self.special(w) else w for w, raw in zip(words, text.split(), strict=True)]
-        if new := set(words).difference(self.known):
-            if len(self.known) + len(new) > CACHED_WORDS:
-                self.known.clear()
-                new = set(words)
-            self.learn(new)
-        return b"".join(map(self.known.__getitem__, words))
+        return words
+
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text."""
+        if len(self.known) > KEPT_WORDS:
+            self.known, self.older = {}, self.known
+        lists = [self.words(t) for t in texts]
+        new = set().union(*lists).difference(self.known)
+        kept = [w for w in new if w in self.older]
+        self.known.update(zip(kept, map(self.older.__getitem__, kept), strict=True))
+        self.learn(new.difference(kept))
+        return [b"".join(map(self.known.__getitem__, words)) for words in lists]
+
+
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One tokenizer per Python worker, however many tasks it runs; the words it knows go with each task."""
+    return WordIds(path)
+
+
+def chunks(texts: list[bytes], size: int) -> Iterator[list[bytes]]:
+    """Runs of texts of some size bytes together; a longer text is a run of its own."""
+    run, held = [], 0
+    for t in texts:
+        if run and held + len(t) > size:
+            yield run
+            run, held = [], 0
+        run.append(t)
+        held += len(t)
+    if run:
+        yield run
 
 
 def cut_pieces(tokenizer_path: str, capacity: int, end_id: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = WordIds(tokenizer_path), end_id.to_bytes(4, "little")
+        encode, end = word_ids(tokenizer_path), end_id.to_bytes(4, "little")
+        encode.forget()
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text) + end
+            made = (ids for run in chunks(batch.column(1).to_pylist(), CHUNK) for ids in encode(run))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), made, strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     for column, value in zip(rows, (doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own)), strict=True):
                         column.append(value)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        encode.forget()
 
     return cut
 
@@ -254,7 +294,7 @@ def pack(pieces: DataFrame, capacity: int, bucket_rows: int = 200_000) -> DataFr
     slots = plan_slots(counts, capacity)
     plan = spark.createDataFrame(slots, "slot_length long, low long, high long, each long, first long, at long")
     buckets = partitions_for(sum(counts.values()), bucket_rows, 8)
-    rows = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    rows = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     sums = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     sums = sums.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).drop("n")
     order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")

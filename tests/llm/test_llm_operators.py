@@ -1,11 +1,13 @@
 """The ten operators against brute force on a small corpus with every odd case, and on empty tables."""
 
 import hashlib
+import json
 import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -353,11 +355,28 @@ def test_added_tokens_are_matched_as_written(spark):
     expected = [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
     assert expected[0] == [49407, 0] and 49407 not in expected[2]
     encode = packing.WordIds(VOCABULARY)
-    assert [np.frombuffer(encode(t.encode()), "<u4").tolist() for t in texts] == [ids[:-1] for ids in expected]
+    assert encode.short and encode.lower
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encode([t.encode() for t in texts])] == [ids[:-1] for ids in expected]
     got = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), VOCABULARY, 2048).collect()
     assert {r.doc_id: (r.length, r.ids_crc32) for r in got} == {k: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for k, ids in enumerate(expected)}
 
 
+def test_words_are_kept_in_generations(monkeypatch):
+    """Whatever is kept, ids are the tokenizer's; a description that normalises otherwise has no short way."""
+    monkeypatch.setattr(packing, "KEPT_WORDS", 20)
+    tokenizer, rnd = Tokenizer.from_file(VOCABULARY), random.Random(3)
+    words = ["alpha", "Beta!!", "straße", "ÉTÉ", "e\u0301t\u00e9.", "it's", "x1y2", "東京", "don't?!", "...", "a\u00a0b"] + ["".join(rnd.choices("abcdeé'.", k=rnd.randint(1, 9))) for _ in range(200)]
+    texts = [" ".join(rnd.choices(words, k=rnd.randint(0, 30))) for _ in range(60)]
+    encode = packing.WordIds(VOCABULARY)
+    got = [ids for run in packing.chunks([t.encode() for t in texts], 300) for ids in encode(run)]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(encode.known) < 200
+    parts = json.loads(Path(VOCABULARY).read_text(encoding="utf-8"))
+    assert packing.splits_letters_from_signs(parts) == (True, True)
+    parts["normalizer"]["normalizers"].append({"type": "StripAccents"})
+    assert packing.splits_letters_from_signs(parts) == (True, False)
+
+
 def test_slots_hold_every_piece():
     rnd = random.Random(9)
     for _ in range(40):
