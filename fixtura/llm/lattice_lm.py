@@ -1,14 +1,16 @@
 """Subword lattice likelihood: every segmentation of a word into pieces of an existing vocabulary counts.
 
-The vocabulary's pieces (with and without word end) keep their identity and order; their unigram scores, one
-table for a word's first piece and one for later ones, start from the vocabulary's own ranks and are re-estimated
-by expectation maximisation on the distinct training words. A word's lattice probability is the sum over all its
-segmentations, by the forward recursion in log space. A word seen in training also has itself as one whole piece:
-its count less `discount`, and the lattice shares out what the discounts leave (absolute discounting, with the
-lattice for the words' types). A text is its words, each preceded by the choice not to end, and the end. Every
-choice's probabilities sum to 1, so scores are those of a proper distribution over texts; all single bytes are
+The vocabulary's pieces (with and without word end) keep their identity; their unigram scores, one table for a
+word's first piece and one for later ones, start from the vocabulary's own ranks and are re-estimated by expectation
+maximisation on the training words, each as often as it occurs. A word's probability is the sum over all its
+segmentations, by the forward recursion in log space, and nothing else: a word seen in training scores by its pieces
+like any other. A text is its words, each preceded by the choice not to end, and the end. Every choice's
+probabilities sum to at most 1, so scores are those of a proper distribution over texts; all single bytes are
 pieces, so no word is impossible.
 
+Beside it, lexicon_score: the same with words seen in training as pieces of their own, by absolute discounting (a
+word's count less `discount`; the lattice shares out what the discounts leave).
+
 Words are counted over all training documents; each distinct word's lattice is computed once. Documents meet
 their words' scores in hash blocks of bounded size: a block needs each of its words once, however often it occurs.
 
@@ -114,8 +116,8 @@ class Lattice:
             alpha[rows, end] = np.logaddexp(alpha[rows, end], alpha[rows, start] + self.log_p[int(start > 0), ids])
         return alpha, edges
 
-    def expect(self, words: np.ndarray, out: np.ndarray) -> None:
-        """Add to out (first pieces, later pieces) how often each piece is expected in the words."""
+    def expect(self, words: np.ndarray, times: np.ndarray, out: np.ndarray) -> None:
+        """Add to out (first pieces, later pieces) how often each piece is expected in the words, which occur so many times."""
         alpha, edges = self.forward(words)
         length = words.shape[1]
         beta = np.full(alpha.shape, -np.inf)
@@ -123,7 +125,7 @@ class Lattice:
         for start, end, rows, ids in sorted(edges, key=lambda e: -e[1]):
             through = beta[rows, end] + self.log_p[int(start > 0), ids]
             share = np.exp(alpha[rows, start] + through - alpha[rows, length])
-            np.add.at(out[int(start > 0)], ids, share)
+            np.add.at(out[int(start > 0)], ids, share * times[rows])
             beta[rows, start] = np.logaddexp(beta[rows, start], through)
 
 
@@ -167,8 +169,9 @@ def _expectations(pieces: list, log_p: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, out = Lattice(pieces, log_p), np.zeros(log_p.shape)
         for batch in gathered(batches, TOGETHER):
-            for _, rows in slabs(batch.column(0).to_pylist()):
-                lattice.expect(rows, out)
+            times = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
+            for at, rows in slabs(batch.column(0).to_pylist()):
+                lattice.expect(rows, times[at], out)
         ids = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out.ravel()[ids], pa.float64())], names=["piece", "n"])
 
@@ -176,7 +179,7 @@ def _expectations(pieces: list, log_p: np.ndarray):
 
 
 def _word_scores(pieces: list, log_p: np.ndarray, learnt: int, distinct: int, discount: float):
-    """The words' log10 probabilities: what their discounted counts and their lattices give."""
+    """The words' log10 probabilities: what their lattices give (log_p), and their discounted counts besides (seen_p)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces, log_p)
@@ -185,11 +188,12 @@ def _word_scores(pieces: list, log_p: np.ndarray, learnt: int, distinct: int, di
             out = np.zeros(len(words))
             for at, rows in slabs(words):
                 out[at] = lattice.forward(rows)[0][:, -1]
+            seen = out
             if learnt:
                 counts = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), dtype=np.float64)
                 with np.errstate(divide="ignore"):
-                    out = np.logaddexp(np.log(np.maximum(counts - discount, 0) / learnt), out + math.log(discount * distinct / learnt))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out / math.log(10), pa.float64())], names=["word", "n", "log_p"])
+                    seen = np.logaddexp(np.log(np.maximum(counts - discount, 0) / learnt), out + math.log(discount * distinct / learnt))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out / math.log(10), pa.float64()), pa.array(seen / math.log(10), pa.float64())], names=["word", "n", "log_p", "seen_p"])
 
     return run
 
@@ -205,18 +209,19 @@ def _score_block(model: dict):
     def run(key, docs, words):
         number = {w: i for i, w in enumerate(words.column("word").to_pylist())}
         counts = words.column("n").to_numpy().astype(np.float64)
-        log_p = words.column("log_p").to_numpy()
+        log_p, seen_p = words.column("log_p").to_numpy(), words.column("seen_p").to_numpy()
         base = np.log10((counts + 1) / model["base"])
         known = counts > 0
-        rows: tuple[list, ...] = ([], [], [], [])
+        rows: tuple[list, ...] = ([], [], [], [], [])
         for text in docs.column("body").to_pylist():
             own = text.lower().split()
             at = np.fromiter(map(number.__getitem__, own), dtype=np.int64, count=len(own))
-            values = len(own) + 1, int(known[at].sum()) + model["end_known"], float(base[at].sum()) + model["base_end"], float(log_p[at].sum()) + len(own) * model["go_on"] + model["stop"]
+            ends = len(own) * model["go_on"] + model["stop"]
+            values = len(own) + 1, int(known[at].sum()) + model["end_known"], float(base[at].sum()) + model["base_end"], float(log_p[at].sum()) + ends, float(seen_p[at].sum()) + ends
             for column, value in zip(rows, values, strict=True):
                 column.append(value)
         out = {"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out")}
-        kinds = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
+        kinds = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "lexicon_score": pa.float64()}
         return pa.table(out | {n: pa.array(v, k) for (n, k), v in zip(kinds.items(), rows, strict=True)})
 
     return run
@@ -226,7 +231,7 @@ def fit_pieces(words: DataFrame, pieces: list, rounds: int, smoothing: float = 0
     """Log probabilities of the pieces, from their ranks on, by `rounds` of expectation maximisation over all words."""
     p = 1 / (np.arange(len(pieces)) + 100.0)
     log_p = np.log(np.stack([p, p]) / p.sum())
-    used = words.where("n > 0").select("word")
+    used = words.where("n > 0").select("word", "n")
     for _ in range(rounds):
         found = used.mapInArrow(released(_expectations(pieces, log_p)), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
         rows = found.collect()  # two rows per piece of the vocabulary at most
@@ -239,26 +244,25 @@ def fit_pieces(words: DataFrame, pieces: list, rounds: int, smoothing: float = 0
     return log_p
 
 
-def score_texts(docs: DataFrame, vocabulary: str, folds: int = 7, held: int = 2, rounds: int = 2, block_words: int = 4_000_000) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document (scores in log10)."""
+def score_texts(docs: DataFrame, vocabulary: str, folds: int = 7, held: int = 2, rounds: int = 2, block_bytes: int = 24_000_000) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lexicon_score of every document (scores in log10)."""
     fold = crc_fold(F.col("doc_id"), folds)
     rows = docs.select("doc_id", F.coalesce(fold == held, F.lit(False)).alias("held_out"), F.coalesce(fold != held, F.lit(False)).alias("learn"), utf8(F.col("text")).alias("body"))
     counted = rows.select("learn", "body").mapInArrow(released(_count_words), "word binary, n long")
     words = settle(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
     totals = words.agg(F.sum("n").alias("n"), *[F.sum((F.col("n") >= k if k == 1 else F.col("n") == k - 1).cast("long")).alias(v) for k, v in ((1, "v"), (2, "once"), (3, "twice"))]).first()
-    texts = rows.agg(F.sum(F.col("learn").cast("long")).alias("learn"), F.count("*").alias("all")).first()
+    texts = rows.agg(F.sum(F.col("learn").cast("long")).alias("learn"), F.sum(F.octet_length("body")).alias("bytes")).first()
     learnt, ends = int(totals["n"] or 0), int(texts["learn"] or 0)
     total, distinct = learnt + ends, int(totals["v"] or 0) + (ends > 0)
     discount = ((totals["once"] or 0) + 0.5) / ((totals["once"] or 0) + 2 * (totals["twice"] or 0) + 1.0)
     pieces = read_pieces(vocabulary)
     log_p = fit_pieces(words, pieces, rounds)
-    scored = words.mapInArrow(released(_word_scores(pieces, log_p, learnt, int(totals["v"] or 0), discount)), "word binary, n long, log_p double")
+    scored = words.mapInArrow(released(_word_scores(pieces, log_p, learnt, int(totals["v"] or 0), discount)), "word binary, n long, log_p double, seen_p double")
     stop = (ends + 0.5) / (total + 1.0)
     base = total + 1.0 * (distinct + 1)
     model = {"base": base, "end_known": int(ends > 0), "base_end": math.log10((ends + 1) / base), "go_on": math.log10(1 - stop), "stop": math.log10(stop)}
-    # Words of held-out texts are a known share of all; blocks are sized by the words that training saw.
-    blocks = partitions_for(learnt * (texts["all"] or 0) / max(1, ends), block_words, 1)
+    blocks = partitions_for(texts["bytes"] or 0, block_bytes, 1)
     placed = rows.select("doc_id", "held_out", "body", F.pmod(F.xxhash64("doc_id", F.substring("body", 1, 64)), F.lit(blocks)).alias("block"))
     needed = placed.groupBy("block").applyInArrow(released(_block_words), "block long, word binary").join(scored, "word")
-    out = placed.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(released(_score_block(model)), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = placed.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(released(_score_block(model)), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, lexicon_score double")
     return out.withColumn("train_tokens", F.lit(total).cast("long"))
