@@ -9,7 +9,8 @@ ever looked at:
   pair that links has a non-empty part in common, whole. Parts are counted per size bucket, and a set takes part
   in its own bucket and the next smaller one. Columns of the product are these parts: about five n-grams each,
   so unrelated texts, shared lines and frequent phrases hardly ever meet. A set whose parts can't give the
-  guarantee (it would need very uneven hashes) is compared with all sets of fitting size instead.
+  guarantee (its hashes are very uneven: one in some 10,000 small sets) takes part with its n-grams dealt in
+  further ways, until one gives it. Sets that none of TRIES ways helps are compared with each other.
 * Smaller sets: with n-grams in the order of rising frequency, a pair that links shares one among the first
   n - ceil(t n) + 1 of each; columns are those n-grams.
 
@@ -55,6 +56,10 @@ FEW_PAIRS = 100_000
 FEW = 16
 #: Entries a task holds before it joins its equal columns and sends them on.
 HELD = 250_000
+#: Entries of a piece of a task's list of shared columns.
+LISTED = 4_096
+#: Ways to deal a set's n-grams to parts that are tried until one gives the guarantee.
+TRIES = 4
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -128,10 +133,10 @@ def set_rows(n: int, list_below: int):
     return run
 
 
-def columns_of(grams: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, bool]:
-    """The columns a set has entries in, and whether they give the guarantee."""
+def columns_of(grams: np.ndarray, sizes: Sizes, way: int = 0) -> tuple[np.ndarray, bool]:
+    """The columns a set has entries in when its n-grams are dealt that way, and whether they give the guarantee."""
     found, sound = [], True
-    spread, weight = mixed(grams ^ np.uint64(MULTIPLIERS[5])), mixed(grams ^ np.uint64(MULTIPLIERS[6]))
+    spread, weight = mixed(grams ^ np.uint64(MULTIPLIERS[5] ^ way << 20)), mixed(grams ^ np.uint64(MULTIPLIERS[6] ^ way << 20))
     for bucket, apart in sizes.schemes(len(grams)):
         parts = sizes.parts(bucket)
         part = (spread % np.uint64(parts)).astype(np.int64)
@@ -143,8 +148,23 @@ def columns_of(grams: np.ndarray, sizes: Sizes) -> tuple[np.ndarray, bool]:
     return np.concatenate(found), sound
 
 
+def all_columns(grams: np.ndarray, sizes: Sizes) -> np.ndarray:
+    """The columns of a set: those of the first way that gives the guarantee and of all before it, which every set
+    that needed no more ways has too; UNSOUND besides if none of TRIES ways does. A pair that links shares a column of
+    a way that is sound for either set, so only two sets that have UNSOUND must be compared whatever they share."""
+    found = []
+    for way in range(TRIES):
+        columns, sound = columns_of(grams, sizes, way)
+        found.append(columns)
+        if sound:
+            break
+    else:
+        found.append(np.array([UNSOUND], dtype=np.uint64))
+    return np.concatenate(found)
+
+
 def column_entries(n: int, sizes: Sizes, blocks: int):
-    """Packed (column, doc) entries by block; of a task's equal columns the least doc goes to the block and all go to a list (block < 0)."""
+    """Packed (column, doc) entries by block; of a task's equal columns the least doc goes to the block and all go to a list (block < 0), which needn't meet."""
 
     def send(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         every = np.concatenate(held)
@@ -152,13 +172,17 @@ def column_entries(n: int, sizes: Sizes, blocks: int):
         new = np.concatenate([[True], every["column"][1:] != every["column"][:-1]])
         shared = ~new | (every["column"] == UNSOUND)
         shared[:-1] |= ~new[1:]
-        block = (every["column"] % np.uint64(blocks)).astype(np.int64)
-        rows = []
-        for picked, sign in ((new, 1), (shared, -1)):
-            part, of = every[picked], block[picked]
-            order = np.argsort(of, kind="stable")
-            cuts = np.searchsorted(of[order], np.arange(blocks + 1))
-            rows += [(k if sign > 0 else -1 - k, part[order[cuts[k] : cuts[k + 1]]].tobytes()) for k in range(blocks) if cuts[k] < cuts[k + 1]]
+        first = every[new]
+        block = (first["column"] % np.uint64(blocks)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
+        first, block = first[order], block[order]
+        cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]]))  # the blocks that have entries, however many there are
+        rows = [(int(block[a]), first[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        # A list's columns are known to be shared and meet nobody: lists are spread by their content, a frequent column with them.
+        listed = every[shared]
+        for i in range(0, len(listed), LISTED):
+            part = listed[i : i + LISTED]
+            rows.append((-1 - int(mixed(part["doc"][:1].view(np.uint64) + part["column"][-1:])[0] % np.uint64(blocks)), part.tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "entries"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,9 +196,7 @@ def column_entries(n: int, sizes: Sizes, blocks: int):
                 if own in seen:  # its class has sent these columns
                     continue
                 seen.add(own)
-                columns, sound = columns_of(grams, sizes)
-                if not sound:
-                    columns = np.append(columns, np.uint64(UNSOUND))
+                columns = all_columns(grams, sizes)
                 entries = np.empty(len(columns), ENTRY)
                 entries["column"], entries["doc"] = columns, doc
                 held.append(entries)
@@ -191,7 +213,7 @@ def column_entries(n: int, sizes: Sizes, blocks: int):
 def shared_columns(block, table):
     """The entries of columns with two documents or more."""
     every = np.concatenate([np.frombuffer(b, ENTRY) for b in table.column("entries").to_pylist()])
-    if block[0].as_py() >= 0:
+    if block[0].as_py() >= 0:  # lists hold shared columns only
         every = every[np.argsort(every["column"], kind="stable")]
         same = every["column"][1:] == every["column"][:-1]
         keep = np.zeros(len(every), dtype=bool)
@@ -380,7 +402,7 @@ def fits(a: str, b: str, percent: int) -> Column:
     return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
 
 
-def in_blocks(pairs: DataFrame, sets: DataFrame, block_grams: int = 1_000_000) -> DataFrame:
+def in_blocks(pairs: DataFrame, sets: DataFrame, block_grams: int = 600_000) -> DataFrame:
     """The sets of pairs (a, b, n) by block, each a with all its b; n is the size of b's set. Blocks hold about
     block_grams n-grams, and an a whose b have more than half of that is dealt in lanes."""
     pairs = settle(pairs, "pairs")
@@ -405,7 +427,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return in_blocks(left, sets).groupBy("block").applyInArrow(released(multiply(percent)), "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, small: int = 100, block_entries: int = 1_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, small: int = 100, block_entries: int = 600_000) -> DataFrame:
     """doc_id, n_shingles, component_id, n_class of every document (n_class: documents of an equal set)."""
     sizes = Sizes(percent, small)
     limit = small * 100 // percent + 1
@@ -437,7 +459,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, small: in
     columns = settle(columns.join(shares, "rep"), "shared")
     hub = columns.groupBy("column").agg(F.max(F.struct("shares", "rep", "n_shingles")).alias("hub"))
     stars = columns.join(hub, "column").where((F.col("rep") != F.col("hub.rep")) & fits("n_shingles", "hub.n_shingles", percent)).select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    more = unsound_pairs(every.where(F.col("column") == UNSOUND), node, sizes)
+    more = unsound_pairs(every.where(F.col("column") == UNSOUND), sizes)
     wanted = columns.select(F.col("rep").alias("doc_id")).distinct()
     wanted = wanted if more is None else wanted.union(more.select(F.explode(F.array("a", "b")))).distinct()
     wanted = settle(wanted, "wanted")
@@ -478,12 +500,12 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, small: in
     return whole.select("doc_id", "n_shingles", F.coalesce("joined", "component", "doc_id").alias("component_id"), F.coalesce("n_class", F.lit(1)).alias("n_class"))
 
 
-def unsound_pairs(weak: DataFrame, node: DataFrame, sizes: Sizes) -> DataFrame | None:
-    """Pairs of the sets without the guarantee with every set of fitting size; None where there are no such sets."""
+def unsound_pairs(weak: DataFrame, sizes: Sizes) -> DataFrame | None:
+    """Pairs of fitting size of the sets without the guarantee; None where there are none, as good as always."""
     if weak.limit(1).count() == 0:
         return None
     low = F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(100 / sizes.percent)))
-    reps = node.where("doc_id = rep").select(F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), low.alias("level"))
+    reps = weak.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), low.alias("level")).distinct()
     near = weak.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.explode(F.sequence(low - 1, low + 1)).alias("level")).distinct()
     return near.join(reps, "level").where((F.col("a") != F.col("b")) & fits("n_a", "n_b", sizes.percent)).select("a", "b").distinct()
 
