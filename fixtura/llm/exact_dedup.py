@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 from fixtura.llm.common import ascii_lower, released, settle, utf8
 
 CHUNK = 1 << 16
-#: Two Mersenne primes and a base for each; a chunk's sum of 255 * prime * CHUNK stays below 2**63.
+#: A Mersenne prime with two bases; a chunk's sum of 255 * prime * CHUNK stays below 2**63.
 FIELDS = (((1 << 31) - 1, 1_103_515_245), ((1 << 31) - 1, 1_664_525_017))
 #: Rows of a group that are compared with one copy of the row that stays.
 FAN = 512
@@ -70,12 +70,23 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 PRINT = ["fp_a", "fp_b", "n_bytes"]
+#: Groups of more than one row in so many are met by broadcast: there are at most as many such groups.
+HOT = 10_000
 
 
-def differing(docs: DataFrame, digests: DataFrame, groups: DataFrame) -> DataFrame:
+def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows joined to their groups (with group_size) by keys. A large group's rows stay where they are: of total rows,
+    at most HOT groups have more than one in HOT, so these are broadcast; the rest is dealt, and no key of it is hot."""
+    most = max(FAN, total // HOT)
+    large = F.broadcast(groups.where(F.col("group_size") > most))
+    dealt = rows.join(large.select(*keys), keys, "left_anti").join(groups.where(F.col("group_size") <= most), keys)
+    return rows.join(large, keys).unionByName(dealt)
+
+
+def differing(docs: DataFrame, digests: DataFrame, groups: DataFrame, total: int) -> DataFrame:
     """Rows (doc_id, text_sha256) whose text differs from that of the row that stays though the fingerprints agree."""
     many = groups.where("group_size > 1").select(*PRINT, "keep_id", "group_size")
-    members = digests.where("doc_id is not null").join(many, PRINT).distinct()
+    members = with_groups(digests.where("doc_id is not null"), many, PRINT, total).distinct()
     body = ascii_lower(F.coalesce("text", F.lit(""))).cast("binary")
     text = docs.select("doc_id", body.alias("body"), F.sha2(body, 256).alias("text_sha256"))
     texts = settle(text.join(members, ["doc_id", "text_sha256"]), "copies")
@@ -98,14 +109,15 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (largest doc_id of equal texts stays)."""
     source = docs.select("doc_id", utf8(F.col("text")).alias("body"))
     digests = settle(source.mapInArrow(released(_digest), "doc_id long, fp_a long, fp_b long, n_bytes long, text_sha256 string"), "digests")
-    whole = digests.groupBy(*PRINT).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    apart = differing(docs, digests, whole).withColumn("apart", F.lit(True))
+    total = digests.count()
+    whole = settle(digests.groupBy(*PRINT).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
+    apart = differing(docs, digests, whole, total).withColumn("apart", F.lit(True))
     classed = digests.join(apart, ["doc_id", "text_sha256"], "left").withColumn("class", F.when(F.col("apart"), F.col("text_sha256")).otherwise(F.lit("")))
-    classed = classed.drop("apart")
-    groups = classed.groupBy(*PRINT, "class").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    classed = settle(classed.drop("apart"), "classed")
+    groups = settle(classed.groupBy(*PRINT, "class").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     first = F.row_number().over(Window.partitionBy("doc_id", *PRINT, "class").orderBy("text_sha256")) == 1
     once = classed.withColumn("first", first)
-    out = once.join(groups, [*PRINT, "class"])
+    out = with_groups(once, groups, [*PRINT, "class"], total)
     return out.select("doc_id", "keep_id", "group_size", (F.col("first") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256")
 
 
@@ -114,4 +126,5 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     key = lambda doc_id, sha: F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), sha)
     kept = exact_dedup(docs).where("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("dedup_key"))
     own = F.sha2(ascii_lower(F.coalesce("text", F.lit(""))).cast("binary"), 256)
-    return docs.withColumn("dedup_key", key(F.col("doc_id"), own)).join(kept, "dedup_key", "left_semi").dropDuplicates(["dedup_key"]).select(*docs.columns)
+    rows = docs.select(key(F.col("doc_id"), own).alias("dedup_key"), F.struct(*docs.columns).alias("row"))  # whatever docs' columns are called
+    return rows.join(kept, "dedup_key", "left_semi").dropDuplicates(["dedup_key"]).select("row.*")
