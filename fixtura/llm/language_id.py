@@ -18,6 +18,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -174,16 +175,28 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2, **bounds) -> DataFr
     return source.mapInArrow(released(scorer(model)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, **bounds) -> DataFrame:
-    """The rows of docs that get a language; `und` rows go."""
-    scored = scorer(fit_on(docs, **bounds))
+def keep_identified(docs: DataFrame, least: float = 0.1, **bounds) -> DataFrame:
+    """The rows of docs whose language is identified: `und` rows go, and rows whose language is predicted with a score
+    under `least`, as those of no learned language are. A null lang becomes the predicted one. Without any usable
+    training row nothing can be predicted, and every row with a letter stays as it is."""
+    model = fit_on(docs, **bounds)
+    scored = scorer(model)
     at = docs.columns.index("text")
+    named = docs.columns.index("lang") if "lang" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bodies = pa.array([t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()], pa.binary())
             blank = pa.nulls(len(bodies))
+            if model is None:
+                yield batch.filter(pa.array([bool(LETTER.search(t.decode("utf-8", "replace"))) for t in bodies.to_pylist()], pa.bool_()))
+                continue
             found = next(scored(iter([pa.RecordBatch.from_arrays([blank, blank, bodies], names=["doc_id", "held_out", "body"])])))
-            yield batch.filter(pa.array([lang != UNKNOWN for lang in found.column(2).to_pylist()], pa.bool_()))
+            langs, scores = found.column(2), found.column(3)
+            columns = list(batch.columns)
+            if named is not None:
+                columns[named] = pc.coalesce(columns[named], langs.cast(columns[named].type))
+            keep = pc.and_(pc.not_equal(langs, UNKNOWN), pc.greater_equal(scores, least))
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(keep)
 
     return docs.mapInArrow(released(run), docs.schema)
