@@ -43,7 +43,7 @@ def sha(text):
 
 
 def test_lattice_scores(docs, rows):
-    got = lattice_lm.score_texts(docs, VOCABULARY, block_words=500).collect()
+    got = lattice_lm.score_texts(docs, VOCABULARY, block_bytes=3000).collect()
     assert len(got) == len(rows)
     train = [words(r[1]) for r in rows if fold(r[0], 7) not in (None, 2)]
     counts, ends = Counter(w for t in train for w in t), len(train)
@@ -70,9 +70,52 @@ def test_forward_recursion_sums_all_segmentations():
         alpha, _ = lattice.forward(np.frombuffer(word, np.uint8).reshape(1, -1))
         assert math.exp(alpha[0, -1]) == pytest.approx(total(word, 0))
     out = np.zeros(log_p.shape)
-    lattice.expect(np.frombuffer(b"abab", np.uint8).reshape(1, -1), out)
+    lattice.expect(np.frombuffer(b"abab", np.uint8).reshape(1, -1), np.array([3.0]), out)
     lengths = np.array([len(p) for p, _ in pieces])
-    assert (out * lengths).sum() == pytest.approx(4)  # the pieces of every segmentation cover the word
+    assert (out * lengths).sum() == pytest.approx(3 * 4)  # the pieces of every segmentation cover the word
+
+
+def cuts_of(word):
+    """Every way to cut a word into pieces."""
+    yield (word,)
+    for k in range(1, len(word)):
+        for rest in cuts_of(word[k:]):
+            yield (word[:k], *rest)
+
+
+def test_lattice_scores_against_all_segmentations(spark):
+    """The whole score: pieces fitted by expectation maximisation over enumerated segmentations, then every
+    segmentation of every word added up."""
+    rnd = random.Random(2)
+    texts = [" ".join("".join(rnd.choices("theandé", k=rnd.randint(1, 6))) for _ in range(rnd.randint(0, 9))) for _ in range(30)] + ["THE and", "", None]
+    number = {piece: i for i, piece in enumerate(lattice_lm.read_pieces(VOCABULARY))}
+    ways = lambda w: [[(int(k > 0), number[p, k + 1 == len(cut)]) for k, p in enumerate(cut)] for cut in cuts_of(w) if all((p, k + 1 == len(cut)) in number for k, p in enumerate(cut))]
+    own = {i: low(t).encode().split() for i, t in enumerate(texts)}
+    train = [w for i, ws in own.items() if fold(i, 7) != 2 for w in ws]
+    prob = np.stack([1 / (np.arange(len(number)) + 100.0)] * 2)
+    prob /= prob.sum(axis=1, keepdims=True)
+    of = lambda way: math.prod(prob[k, i] for k, i in way)
+    for _ in range(2):
+        expected = np.full(prob.shape, 0.05)
+        for w, n in Counter(train).items():
+            total = sum(map(of, ways(w)))
+            for way in ways(w):
+                for k, i in way:
+                    expected[k, i] += n * of(way) / total
+        prob = expected / expected.sum(axis=1, keepdims=True)
+    ends = sum(fold(i, 7) != 2 for i in own)
+    stop = (ends + 0.5) / (len(train) + ends + 1)
+    got = lattice_lm.score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), VOCABULARY).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ws = own[r.doc_id]
+        assert r.score == pytest.approx(sum(math.log10(sum(map(of, ways(w)))) for w in ws) + len(ws) * math.log10(1 - stop) + math.log10(stop))
+
+
+def test_lattice_without_training(spark):
+    docs = spark.createDataFrame([(None, "some words"), (None, ""), (None, None)], "doc_id long, text string")
+    got = sorted((r.n_tokens, r.n_known, r.train_tokens, r.score < 0) for r in lattice_lm.score_texts(docs, VOCABULARY).collect())
+    assert got == [(1, 0, 0, True), (1, 0, 0, True), (3, 0, 0, True)]
 
 
 def test_lattice_vocabulary_covers_all_bytes():
@@ -135,6 +178,19 @@ def test_jaccard_families_of_variants(spark, monkeypatch, block_grams):
     assert got == expected
 
 
+def test_an_uneven_set_takes_part_in_further_ways(monkeypatch):
+    """Whichever ways are sound for either set, a pair that links shares a column, or UNSOUND."""
+    sizes = ngram_join.Sizes(85, 100)
+    rnd = np.random.default_rng(5)
+    whole = ngram_join.columns_of
+    for trial in range(40):
+        a = np.unique(rnd.integers(0, 1 << 63, 130, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[5:], rnd.integers(0, 1 << 63, 4, dtype=np.uint64)]))
+        bad = {a.tobytes(): trial % 5, b.tobytes(): trial // 5 % 5}  # so many ways fail for each set
+        monkeypatch.setattr(ngram_join, "columns_of", lambda g, s, way, bad=bad: (whole(g, s, way)[0], way >= bad[g.tobytes()]))
+        assert set(ngram_join.all_columns(a, sizes).tolist()) & set(ngram_join.all_columns(b, sizes).tolist())
+
+
 def test_unsound_sets_are_compared_with_all(spark, monkeypatch):
     rows = [(i, " ".join(f"w{k}" for k in range(i % 3, 150 + i % 3))) for i in range(9)] + [(50, "other words here " * 40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -430,6 +486,30 @@ def test_mixing(docs, rows):
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
 
 
+def test_quotas_go_to_the_highest_quotients(spark):
+    rnd = random.Random(6)
+    parties = []
+    for source, (n, house) in enumerate([(1, 7), (6, 40), (30, 11), (5, 0), (12, 5000), (4, 4)], 1):
+        votes = [rnd.choice([0, 1, 7, 500, 500, 10_000]) for _ in range(n)]
+        votes[0] += 3
+        parties += [(source, k, v, house) for k, v in enumerate(votes)]
+    got = {(r.source_no, r.shard): r.blocks for r in mixing.shard_quotas(spark.createDataFrame(parties, "source_no int, shard long, held long, house long")).collect()}
+    for source in range(1, 7):
+        own = [(v, k, house) for s, k, v, house in parties if s == source]
+        best = sorted((-v / (2 * seat - 1), k) for v, k, house in own if v for seat in range(1, house + 1))[: own[0][2]]
+        expected = Counter(k for _, k in best)
+        assert {k: got.get((source, k), 0) for _, k, _ in own} == {k: expected[k] for _, k, _ in own}
+
+
+def test_null_ids_are_told_apart_by_their_texts(spark):
+    rows = [(None, "word " * n, "s", None, None) for n in range(1, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, row string")
+    made = mixing.apply_mix(docs, mixing.mix_sources(docs, shard_words=100))
+    assert made.columns == docs.columns
+    taken = mixing.mix_sources(docs, shard_words=100).agg(F.sum("taken")).first()[0]
+    assert made.agg(F.sum(mixing.word_count(F.col("text")))).first()[0] == taken
+
+
 def test_water_level_with_many_stops(spark):
     rnd = random.Random(5)
     for _ in range(6):
