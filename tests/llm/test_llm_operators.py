@@ -552,6 +552,36 @@ def test_repeats(docs, rows, width, key, block):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == expected
 
 
+@pytest.mark.parametrize("width", [12, 40, 200])
+def test_prefix_free_parsing_orders_all_windows(width):
+    """The suffix arrays of dictionary and parse together are the order of the text."""
+    rnd = random.Random(width)
+    base = bytes(rnd.choices(b"abcd\x00\xff", k=900))
+    texts = [base[rnd.randrange(400) :][: rnd.randrange(900)] + bytes(rnd.choices(b"ab", k=rnd.randrange(300))) for _ in range(25)]
+    texts += [b"a" * 700, b"ab" * 300, b"ba" * 300, b"", b"x", base, base]
+    raw, starts, order = repeat_spans.corpus_order(texts, width)
+    windows = [t[i : i + width] for t in texts for i in range(len(t) - width + 1)]
+    assert [raw[a : a + width].tobytes() for a in starts] == windows
+    assert [windows[i] for i in order] == sorted(windows)
+    counts = Counter(windows)
+    assert np.concatenate(repeat_spans.repeated_windows(texts, width, 64)).tolist() == [counts[w] > 1 for w in windows]
+
+
+@pytest.mark.parametrize("hot", [1, 3])
+def test_frequent_triggers_are_split(spark, monkeypatch, docs, rows, hot):
+    """A line in ever different surroundings; with a low bound its windows go by their own hashes."""
+    monkeypatch.setattr(repeat_spans, "HOT_SECTIONS", hot)
+    rnd = random.Random(3)
+    line = "".join(rnd.choices("abcdefgh ", k=150))
+    make = lambda k: "".join(rnd.choices("abcdefgh ", k=k))
+    texts = [make(rnd.randrange(60, 200)) + line + make(rnd.randrange(60, 200)) for _ in range(60)]
+    texts += [texts[3], texts[4][:260] + make(50), make(30) + texts[5][20:], None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = dict(enumerate(brute_spans([(t or "").encode() for t in texts], 200)))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeat_spans.remove_repeats(docs, block_bytes=4000).collect()}
+    assert got == expected
+
+
 def test_repeats_in_few_letters(spark):
     rnd = random.Random(13)
     texts = ["".join(rnd.choice("ab") for _ in range(rnd.randint(0, 400))) for _ in range(25)] + ["ab" * 300, "a" * 500]
