@@ -101,24 +101,29 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return 2 * 6371.0088 * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
-def skellam_pmf(d: int, a: Column, b: Column, most: int = 40) -> Column:
-    """P(X - Y = d) for independent Poisson counts, summed over Y up to `most` in one fold.
-
-    The terms follow from one another: t(k + 1) = t(k) * a * b / ((k + d + 1) (k + 1))."""
-    first = max(0, -d)
-    head = F.exp(-a - b)
-    for i in range(1, first + d + 1):
-        head = head * a / i
-    for i in range(1, first + 1):
-        head = head * b / i
-    start = F.struct(head.alias("t"), F.lit(0.0).alias("s"))
-    step = lambda acc, k: F.struct((acc["t"] * a * b / ((k + d + 1) * (k + 1))).alias("t"), (acc["s"] + acc["t"]).alias("s"))
-    return F.aggregate(F.sequence(F.lit(first), F.lit(first + most)), start, step, lambda acc: acc["s"])
-
-
-def skellam_outcomes(a: Column, b: Column, most: int = 12) -> tuple[Column, Column, Column]:
-    """Win, draw, loss of a period with these goal rates (differences up to `most`)."""
-    draw = skellam_pmf(0, a, b)
-    wins = [skellam_pmf(d, a, b) for d in range(1, most + 1)]
-    win = sum(wins[1:], wins[0])
-    return win, draw, 1 - win - draw
+def period_outcomes(a: Column, b: Column, most: int = 40) -> Column:
+    """win, draw, loss of a period with Poisson goals at these rates, as a struct, in one fold over the goals.
+
+    Each step holds the chances that either side has k goals, which follow from those of k - 1, and their running sums:
+    a side wins with k goals if the other has fewer. Goals beyond `most` are left out."""
+    zero = F.lit(0.0)
+    start = F.struct(F.exp(-a).alias("x"), F.exp(-b).alias("y"), zero.alias("fewer_x"), zero.alias("fewer_y"), zero.alias("win"), zero.alias("draw"), zero.alias("loss"))
+
+    def step(acc: Column, k: Column) -> Column:
+        return F.struct(
+            (acc["x"] * a / k).alias("x"),
+            (acc["y"] * b / k).alias("y"),
+            (acc["fewer_x"] + acc["x"]).alias("fewer_x"),
+            (acc["fewer_y"] + acc["y"]).alias("fewer_y"),
+            (acc["win"] + acc["x"] * acc["fewer_y"]).alias("win"),
+            (acc["draw"] + acc["x"] * acc["y"]).alias("draw"),
+            (acc["loss"] + acc["y"] * acc["fewer_x"]).alias("loss"),
+        )
+
+    return F.aggregate(F.array(*[F.lit(float(k)) for k in range(1, most + 2)]), start, step, lambda acc: F.struct(acc["win"].alias("win"), acc["draw"].alias("draw"), acc["loss"].alias("loss")))
+
+
+def skellam_outcomes(a: Column, b: Column) -> tuple[Column, Column, Column]:
+    """Win, draw, loss; where more than one is used, make period_outcomes a column of its own first."""
+    made = period_outcomes(a, b)
+    return made["win"], made["draw"], made["loss"]

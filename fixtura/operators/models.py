@@ -14,7 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fixtura.shared import settle
+from fixtura.functions.probs import let
+from fixtura.shared import settle, small
 
 
 def with_folds(df: DataFrame, date: str, years: Sequence[int], val_years: int = 3) -> DataFrame:
@@ -42,7 +43,7 @@ def class_frequencies(train: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def by_context(test: DataFrame, frequencies: DataFrame, by: Sequence[str]) -> DataFrame:
     """test with the shares of its context; contexts are few, one row each."""
-    return test.join(F.broadcast(frequencies), list(by), "left") if by else test.join(F.broadcast(frequencies))
+    return test.join(small(frequencies), list(by), "left") if by else test.join(small(frequencies))
 
 
 def strength_sign(df: DataFrame, column: str = "elo_diff") -> DataFrame:
@@ -174,6 +175,18 @@ def score_cells(df: DataFrame, home_rate: Column, away_rate: Column, keys: Seque
     return cells.select(*keys, "h", "a", raw.alias("raw"), (raw / (F.col("th") * F.col("ta"))).alias("p"))
 
 
+def likely_scores(df: DataFrame, home_rate: Column, away_rate: Column, keys: Sequence[str], top: int, most: int = 12) -> DataFrame:
+    """keys and scores: the `top` likeliest cells of each score matrix as structs (h, a, p), the likeliest first, the
+    lower score first of equals. The matrix is made and sorted inside its row."""
+    rows = df.select(*keys, home_rate.alias("lh"), away_rate.alias("la"))
+    goals = lambda rate: F.transform(F.array(*map(F.lit, LOG_FACTORIAL[: most + 1])), lambda lf, k: F.exp(-F.col(rate) + k * F.log(rate) - lf))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    rows = rows.select(*keys, goals("lh").alias("x"), goals("la").alias("y"))
+    rows = rows.select(*keys, "x", "y", (total("x") * total("y")).alias("mass"))
+    cells = F.flatten(F.transform("x", lambda x, h: F.transform("y", lambda y, a: let(x * y / F.col("mass"), lambda p: F.struct((-F.round(p, 9)).alias("o"), h.alias("h"), a.alias("a"), p.alias("p"))))))
+    return rows.select(*keys, F.transform(F.slice(F.sort_array(cells), 1, top), lambda s: F.struct(s["h"].alias("h"), s["a"].alias("a"), s["p"].alias("p"))).alias("scores"))
+
+
 def low_score_factor(h: Column, a: Column, lh: Column, la: Column, rho: Column) -> Column:
     """The Dixon-Coles correction of the four low scores, at least 1e-12."""
     tau = F.when((h == 0) & (a == 0), 1 - lh * la * rho).when((h == 1) & (a == 0), 1 + la * rho).when((h == 0) & (a == 1), 1 + lh * rho).when((h == 1) & (a == 1), 1 - rho).otherwise(F.lit(1.0))

@@ -154,9 +154,8 @@ def goal_split(total: Column, skill: Column) -> tuple[Column, Column]:
 def staged_advance(total: Column, skill: Column, shootout: Column) -> Column:
     """The favourite's chance through regulation, extra time at a third of the rates, and a shootout."""
     a, b = goal_split(total, skill)
-    win, draw, _ = probs.skellam_outcomes(a, b)
-    late_win, late_draw, _ = probs.skellam_outcomes(a / 3, b / 3)
-    return win + draw * (late_win + late_draw * shootout)
+    late = lambda o: probs.let(probs.period_outcomes(a / 3, b / 3), lambda x: o["win"] + o["draw"] * (x["win"] + x["draw"] * shootout))
+    return probs.let(probs.period_outcomes(a, b), late)
 
 
 def survival_inputs(s: Survival = Survival()) -> dict[str, Column]:
@@ -185,7 +184,7 @@ def knockout_survival(df: DataFrame, s: Survival = Survival()) -> DataFrame:
     rows = df.withColumns(survival_inputs(s))
     moved = staged_advance(F.lit(s.base_goals), F.col("skill_base"), F.lit(0.5)) - staged_advance(F.col("goals"), F.col("skill"), F.col("shootout"))
     a, b = goal_split(F.col("goals"), F.col("skill"))
-    rows = rows.withColumns({"shift": probs.clamp(moved, -s.most_shift, s.most_shift), "draw": probs.skellam_pmf(0, a, b)})
+    rows = rows.withColumns({"shift": probs.clamp(moved, -s.most_shift, s.most_shift), "draw": probs.period_outcomes(a, b)["draw"]})
     t = s.tag_threshold
     tags = F.array_compact(
         F.array(

@@ -53,16 +53,10 @@ def bundled_example(t):
     return manual.load(t.spark, folder, "penalties").select("team", "penalty_strength")
 
 
-@plan("SRC-24", "SELECT k AS match_number, hn AS team_a, an AS team_b, CASE WHEN q % 5 > pk % 4 THEN hn ELSE an END AS winner FROM {v_base} WHERE k % 10 = 0 AND q % 5 <> pk % 4")
-def knockout_results(t):
-    winner = F.when(F.col("q") % 5 > F.col("pk") % 4, F.col("hn")).otherwise(F.col("an"))
-    return t("v_base").where("k % 10 = 0 and q % 5 <> pk % 4").select(F.col("k").alias("match_number"), F.col("hn").alias("team_a"), F.col("an").alias("team_b"), winner.alias("winner"))
-
-
 KNOCKOUT = "SELECT cast(k AS string) AS match_number, 'final' AS round, hn AS team_a, CASE WHEN k % 17 = 0 THEN '' ELSE an END AS team_b, CASE WHEN k % 11 = 0 THEN 'x' ELSE cast(q % 5 AS string) END AS score_a, cast(pk % 4 AS string) AS score_b, CASE WHEN k % 13 = 0 THEN 'maybe' ELSE 'false' END AS aet, CASE WHEN k % 7 = 0 THEN 'yes' ELSE 'no' END AS penalties, CASE WHEN k % 19 = 0 THEN 'Nobody' ELSE hn END AS winner FROM {v_base}"
 
 
-@plan("SRC-24b", f"""WITH r AS (SELECT *, cast(match_number AS bigint) AS k, team_a AS ta, team_b AS tb, try_cast(score_a AS int) AS a, cast(score_b AS int) AS b, penalties = 'yes' AS s FROM ({KNOCKOUT})) SELECT k AS match_number, concat_ws(';', CASE WHEN a IS NULL THEN 'score_a_not_integer' END, CASE WHEN aet = 'maybe' THEN 'aet_not_boolean' END,
+@plan("SRC-24", f"""WITH r AS (SELECT *, cast(match_number AS bigint) AS k, team_a AS ta, team_b AS tb, try_cast(score_a AS int) AS a, cast(score_b AS int) AS b, penalties = 'yes' AS s FROM ({KNOCKOUT})) SELECT k AS match_number, concat_ws(';', CASE WHEN a IS NULL THEN 'score_a_not_integer' END, CASE WHEN aet = 'maybe' THEN 'aet_not_boolean' END,
     CASE WHEN k NOT BETWEEN 73 AND 104 THEN 'number_range' WHEN k <> 104 THEN 'round' END, CASE WHEN tb = '' THEN 'team_missing' END, CASE WHEN ta = tb THEN 'same_team' END, CASE WHEN winner NOT IN (ta, tb) THEN 'winner' END, CASE WHEN s THEN 'penalties_without_aet' END, CASE WHEN a IS NULL THEN 'one_score' END,
     CASE WHEN s AND a <> b THEN 'shootout_not_level' END, CASE WHEN NOT s AND a = b THEN 'level_without_shootout' END, CASE WHEN NOT s AND a <> b AND winner <> CASE WHEN a > b THEN ta ELSE tb END THEN 'winner_contradicts_score' END) AS problems FROM r""")
 def knockout_problems(t):

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from fixtura.functions import parse, text
 from fixtura.functions.hashing import canonical_json, text_hash
+from fixtura.functions.hashing import MIXER, STRIDE, draw_seed
 from fixtura.operators import graph, linking, models, overlay, quality, simulate, squads
 from fixtura.plans.model_plans import six
 from fixtura.plans.registry import dated, plan
@@ -208,7 +209,8 @@ def combination(t):
 N_SIMS, SEED = 100, "2026"
 U = "cast(('0x' || substr(sha256(concat_ws('|', {parts})), 1, 12)) AS bigint) / 281474976710656.0"
 DRAWN = f"""g AS (SELECT i, exp(-1.4 + i * ln(1.4) - coalesce(list_sum(list_transform(range(1, i + 1), lambda x: ln(x))), 0)) AS ph, exp(-1.0 + i * ln(1.0) - coalesce(list_sum(list_transform(range(1, i + 1), lambda x: ln(x))), 0)) AS pa FROM range(9) t(i)), m AS (SELECT a.i AS h, b.i AS a, a.ph * b.pa AS raw FROM g a CROSS JOIN g b), c AS (SELECT h, a, sum(raw) OVER (ORDER BY h, a) / sum(raw) OVER () AS cum, row_number() OVER (ORDER BY h, a) - 1 AS cell FROM m),
-    d AS (SELECT s.sim, f.*, {U.format(parts=f"'{SEED}', 'score', cast(s.sim AS varchar), cast(f.fixture_id AS varchar)")} AS u FROM {{v_fixtures}} f CROSS JOIN range({N_SIMS}) s(sim)),
+    st0 AS (SELECT sim, (sim + {draw_seed(SEED)}) % 4294967296 AS x0, xor(x0, x0 >> 16) * {MIXER} % 4294967296 AS x1, xor(x1, x1 >> 16) * {MIXER} % 4294967296 AS x2, xor(x2, x2 >> 16) AS x3 FROM range({N_SIMS}) s(sim)),
+    d AS (SELECT sim, f.*, (x3 + cast(fixture_id AS bigint) % 2147483648 * {STRIDE}) % 4294967296 AS y0, xor(y0, y0 >> 16) * {MIXER} % 4294967296 AS y1, xor(y1, y1 >> 16) * {MIXER} % 4294967296 AS y2, xor(y2, y2 >> 16) / 4294967296.0 AS u FROM {{v_fixtures}} f CROSS JOIN st0),
     x AS (SELECT d.sim, d.fixture_id, d.grp, d.home, d.away, d.played, d.home_goals AS fh, d.away_goals AS fa, least((SELECT count(*) FROM c WHERE round(c.cum, 12) <= d.u), 80) AS cell FROM d),
     games AS (SELECT sim, fixture_id, grp, home, away, CASE WHEN played THEN fh ELSE cast(cell // 9 AS int) END AS hg, CASE WHEN played THEN fa ELSE cast(cell % 9 AS int) END AS ag FROM x)"""
 RANKED = f"""{DRAWN}, si AS (SELECT sim, grp, home AS team, away AS opp, CASE WHEN hg > ag THEN 3 WHEN hg = ag THEN 1 ELSE 0 END AS pts, hg - ag AS gd, hg AS gf FROM games UNION ALL SELECT sim, grp, away, home, CASE WHEN ag > hg THEN 3 WHEN hg = ag THEN 1 ELSE 0 END, ag - hg, ag FROM games), r AS (SELECT sim, grp, team, cast(sum(pts) AS bigint) AS pts, cast(sum(gd) AS bigint) AS gd, cast(sum(gf) AS bigint) AS gf FROM si GROUP BY ALL),
@@ -216,11 +218,22 @@ RANKED = f"""{DRAWN}, si AS (SELECT sim, grp, home AS team, away AS opp, CASE WH
     st AS (SELECT r.*, row_number() OVER (PARTITION BY r.sim, r.grp ORDER BY pts DESC, gd DESC, gf DESC, hp DESC NULLS LAST, hd DESC NULLS LAST, hf DESC NULLS LAST, {U.format(parts=f"'{SEED}', 'lot', cast(r.sim AS varchar), r.team")}) AS position FROM r LEFT JOIN hh ON hh.sim = r.sim AND hh.team = r.team)"""
 
 
-def drawn(t):
+def score_table(t):
     one = t.spark.range(1).select(F.lit(0).alias("one"))
     cells = models.score_cells(one, F.lit(1.4), F.lit(1.0), ["one"], 8)
-    table = simulate.cumulative(cells, ["one"]).withColumn("cumulative", F.transform("cumulative", lambda c: F.round(c, 12))).drop("one")
-    return simulate.draw_scores(t("v_fixtures"), table, N_SIMS, SEED, [])
+    return simulate.cumulative(cells, ["one"]).withColumn("cumulative", F.transform("cumulative", lambda c: F.round(c, 12))).drop("one")
+
+
+def drawn(t):
+    return simulate.draw_scores(t("v_fixtures"), score_table(t), N_SIMS, SEED, [])
+
+
+def stage(t):
+    return simulate.GroupStage(t("v_fixtures"), score_table(t), [], SEED)
+
+
+def tables(t):
+    return simulate.group_tables(t.spark, stage(t), N_SIMS)
 
 
 @plan("SIM-01", f"WITH {DRAWN} SELECT sim, fixture_id, hg AS home_goals, ag AS away_goals FROM games")
@@ -236,7 +249,7 @@ def records(t):
 
 @plan("SIM-03", f"WITH {RANKED} SELECT sim, grp, team, position FROM st")
 def ranking(t):
-    return simulate.standings(drawn(t), SEED).select(F.col("sim").cast("long").alias("sim"), "grp", "team", F.col("position").cast("long").alias("position"))
+    return tables(t).select(F.col("sim").cast("long").alias("sim"), "grp", "team", F.col("position").cast("long").alias("position"))
 
 
 @plan("SIM-04", f"WITH {RANKED} SELECT sim, grp, team, place FROM (SELECT *, row_number() OVER (PARTITION BY sim ORDER BY pts DESC, gd DESC, gf DESC, {U.format(parts=f"'{SEED}', 'third', cast(sim AS varchar), team")}) AS place FROM st WHERE position = 3) WHERE place <= 8")
@@ -247,23 +260,23 @@ def thirds(t):
 
 @plan("SIM-07", f"WITH {RANKED} SELECT grp, team, round(count(*) FILTER (position = 1) / {N_SIMS}.0, 6) AS p_1, round(count(*) FILTER (position = 2) / {N_SIMS}.0, 6) AS p_2, round(avg(pts), 6) AS mean_points FROM st GROUP BY grp, team")
 def shares(t):
-    return six(simulate.position_shares(simulate.standings(drawn(t), SEED), N_SIMS).select("grp", "team", "p_1", "p_2", "mean_points"))
+    return six(simulate.group_shares(t.spark, stage(t), N_SIMS).select("grp", "team", "p_1", "p_2", "mean_points"))
 
 
 @plan("AGG-23", f"WITH {RANKED}, p AS (SELECT team, count(*) FILTER (position = 1) / {N_SIMS}.0 AS p FROM st GROUP BY team) SELECT team, round(sqrt(p * (1 - p) / {N_SIMS}), 6) AS se_1 FROM p")
 def standard_errors(t):
-    return six(simulate.position_shares(simulate.standings(drawn(t), SEED), N_SIMS).select("team", "se_1"))
+    return six(simulate.group_shares(t.spark, stage(t), N_SIMS).select("team", "se_1"))
 
 
 @plan("SIM-06", f"WITH {RANKED} SELECT sim, team, (pts * 512 + gd + 256) * 512 + gf AS key FROM r")
 def packed(t):
-    made = simulate.standings(drawn(t), SEED)
+    made = tables(t)
     return made.select(F.col("sim").cast("long").alias("sim"), "team", simulate.packed_key(F.col("pts"), F.col("gd"), F.col("gf")).alias("key"))
 
 
 @plan("SIM-12b", "SELECT 0 AS problems")
 def invariants(t):
-    table = simulate.position_shares(simulate.standings(drawn(t), SEED), N_SIMS)
+    table = simulate.group_shares(t.spark, stage(t), N_SIMS)
     return simulate.share_problems(table).agg(F.count("*").cast("int").alias("problems"))
 
 
@@ -483,13 +496,7 @@ def envelope_errors(t):
 # Assertions, text, dates, files.
 
 
-@plan("VAL-02", "SELECT l_orderkey, l_linenumber, l_partkey FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_shipdate > o_orderdate AND l_orderkey % 50 = 0")
-def late_rows(t):
-    met = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).where("l_orderkey % 50 = 0")
-    return quality.available_before(met, "l_shipdate", "o_orderdate").select("l_orderkey", "l_linenumber", "l_partkey")
-
-
-@plan("VAL-02b", "SELECT l_orderkey, l_linenumber, l_partkey FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_shipdate > o_orderdate")
+@plan("VAL-02", "SELECT l_orderkey, l_linenumber, l_partkey FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey WHERE l_shipdate > o_orderdate")
 def all_late_rows(t):
     met = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return quality.available_before(met, "l_shipdate", "o_orderdate").select("l_orderkey", "l_linenumber", "l_partkey")
@@ -531,14 +538,7 @@ def team_keys(t):
     return t("customer").select("c_custkey", text.team_key(F.concat(F.lit("  "), F.col("c_name"), F.lit("   X "))).alias("key"))
 
 
-@plan("STR-02", "SELECT doc_id, lower(strip_accents(substr(text, 1, 1))) = lower(substr(text, 1, 1)) AS plain, count(*) OVER () AS n FROM {documents} WHERE lang IN ('fr', 'es') AND ascii(substr(text, 1, 1)) < 592")
-def accents(t):
-    first = F.substring("text", 1, 1)
-    rows = t("documents").where(F.col("lang").isin("fr", "es") & (F.ascii(first) < 592))
-    return rows.select("doc_id", (F.lower(F.translate(first, text.ACCENTED, text.PLAIN)) == F.lower(first)).alias("plain"), F.count("*").over(Window.partitionBy()).alias("n"))
-
-
-@plan("STR-02b")
+@plan("STR-02")
 def whole_text_keys(t):
     """Both normalisers over the whole text of every document, as hashes; tests hold them against plain Python."""
     keys = t("documents").select("doc_id", "lang", text.plain_key(F.col("text")).alias("plain"), text.folded_key(F.col("text")).alias("folded"))

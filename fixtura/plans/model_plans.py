@@ -231,10 +231,14 @@ def top_scores(t):
 
 
 def top_cells(t: Tables, most: int):
-    """The likeliest cells of each matrix: the cells of a match are gathered and sorted in the row, no window."""
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("p", 9)).alias("o"), "h", "a", "p"))), 1, most)
-    rows = cells(t).groupBy("k").agg(best.alias("b")).select("k", F.posexplode("b").alias("i", "x"))
-    return rows.select("k", "x.h", "x.a", "x.p", (F.col("i") + 1).cast("long").alias("place"))
+    """The likeliest cells of each matrix."""
+    rows = top_arrays(t, most).select("k", F.posexplode("scores").alias("i", "s"))
+    return rows.select("k", "s.h", "s.a", "s.p", (F.col("i") + 1).cast("long").alias("place"))
+
+
+def top_arrays(t: Tables, most: int):
+    home, away = models.expected_goals([0.6, 0.4, 0.0], F.col("elo_diff"), F.lit(0.0))
+    return models.likely_scores(t("v_preds"), home, away, ["k"], most)
 
 
 @plan("TOPK-02", f"WITH {CELLS}, o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(p, 9) DESC, h, a) AS place FROM cells) SELECT round(avg((place = 1)::INT), 6) AS top1, round(avg((place <= 3)::INT), 6) AS top3, count(*) AS n FROM o WHERE h = home_score AND a = away_score")
