@@ -329,11 +329,6 @@ def skill_split(t):
     return six(t("v_preds").select("k", a.alias("fav"), b.alias("und")))
 
 
-@plan("ARR-03", "SELECT k, [1, 2, 3][1:(k % 4)::INT] AS l, len([1, 2, 3][1:(k % 4)::INT]) AS n FROM {v_base} WHERE false")
-def prefixes(t):
-    return t("v_base").where(F.lit(False)).select("k", F.slice(F.array(F.lit(1), F.lit(2), F.lit(3)), F.lit(1), (F.col("k") % 4).cast("int")).alias("l"), F.lit(0).cast("long").alias("n"))
-
-
 @plan("MAP-01", "SELECT match_id, round(sum(CASE signal WHEN 'historical' THEN 0.35 WHEN 'market' THEN 0.25 WHEN 'squad_strength' THEN 0.15 END), 6) AS total FROM {v_signals} WHERE signal IN ('historical', 'market', 'squad_strength') GROUP BY match_id")
 def restricted_weights(t):
     weights = F.create_map(*[F.lit(x) for kv in (("historical", 0.35), ("market", 0.25), ("squad_strength", 0.15)) for x in kv])
@@ -381,7 +376,7 @@ def forecasts(t):
     return t("v_preds").select("k", "p0", "p1", "p2", F.col("home_score").alias("home_goals"), F.col("away_score").alias("away_goals"), home.alias("home_rate"), away.alias("away_rate")).join(lines, "k")
 
 
-@plan("ARR-03b", f"WITH {CELLS}, o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(p, 9) DESC, h, a) AS place FROM cells) SELECT k, coalesce(string_agg(h || '-' || a, ',' ORDER BY place) FILTER (place <= k % 4), '') AS lines, round(coalesce(sum(p) FILTER (place <= k % 4), 0), 6) AS p, count(*) FILTER (place <= k % 4) AS n FROM o WHERE place <= 3 GROUP BY k")
+@plan("ARR-03", f"WITH {CELLS}, o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY round(p, 9) DESC, h, a) AS place FROM cells) SELECT k, coalesce(string_agg(h || '-' || a, ',' ORDER BY place) FILTER (place <= k % 4), '') AS lines, round(coalesce(sum(p) FILTER (place <= k % 4), 0), 6) AS p, count(*) FILTER (place <= k % 4) AS n FROM o WHERE place <= 3 GROUP BY k")
 def scoreline_prefixes(t):
     """The first 0 to 3 scorelines of every forecast."""
     rows = forecasts(t).select("k", F.slice("scorelines", F.lit(1), (F.col("k") % 4).cast("int")).alias("l"))
