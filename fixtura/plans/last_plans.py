@@ -9,9 +9,9 @@ from fixtura.operators import blend, graph, metrics, models, overlay, quality, s
 from fixtura.plans import aggregate_plans, link_plans
 from fixtura.plans.more_plans import as_csv
 from fixtura.plans.model_plans import six
-from fixtura.plans.registry import plan
+from fixtura.plans.registry import ORACLES, dated, plan
 from fixtura.shared import scratch_path
-from fixtura.sources import delimited, logs, manual, sinks
+from fixtura.sources import adapters, delimited, limits, logs, manual, sinks
 
 
 @plan("SRC-06b", "SELECT s_suppkey AS row_id, s_name AS name FROM {supplier}")
@@ -194,3 +194,66 @@ def fit_and_predict(t):
     rows = t("v_preds").select("year", "label")
     fitted = models.class_frequencies(rows.where("year < 1999"))
     return six(models.by_context(rows.where("year >= 1999"), fitted, []).agg(F.count("*").alias("n"), F.avg(metrics.log_loss()).alias("log_loss")))
+
+
+@plan("SRC-33", "SELECT c_mktsegment AS key, arg_min(c_name || '=' || c_custkey, c_custkey) AS value FROM {customer} WHERE c_acctbal >= 0 AND c_mktsegment <> 'BUILDING' GROUP BY c_mktsegment")
+def settings(t):
+    line = F.concat(F.when(F.col("c_acctbal") < 0, " # ").otherwise("  "), "c_mktsegment", F.lit(" = "), "c_name", F.lit("="), "c_custkey", F.lit(" "))
+    return delimited.settings(t("customer").select(F.col("c_custkey").alias("seq"), line.alias("line")), ["BUILDING"])
+
+
+@plan("SNK-09", ORACLES["BLD-08"])
+def version_report(t):
+    """The comparison of blend versions as a report, read again from its JSON."""
+    made, folder = aggregate_plans.version_scores(t), scratch_path(t.spark, "report")
+    sinks.write_report(made, folder)
+    return t.spark.read.schema(made.schema).json(f"{folder}/json")
+
+
+@plan("STRM-04", "SELECT * FROM (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS in_window FROM {events}) WHERE in_window > 1")
+def calls_over_the_rate(t):
+    """Events are a user's calls; they are too sparse for 60 seconds, so the window is an hour of one call."""
+    return limits.rate_breaches(t("events"), "user_id", "ts", 1, 3600).select("event_id", "user_id", "in_window")
+
+
+@plan("STRM-04b", "SELECT user_id, cast(cast(ts AS date) AS varchar) AS day, count(*) AS used, greatest(0, 4 - count(*)) AS remaining FROM {events} GROUP BY ALL")
+def calls_by_day(t):
+    return dated(limits.daily_use(t("events"), "user_id", "ts", 5, 1))
+
+
+def order_source(t):
+    rules = {"pending": F.col("o_orderstatus") != "P", "low_price": F.col("o_totalprice") >= 100000}
+    return adapters.TableAdapter("orders", "fixtures", t("orders"), "o_orderdate", rules)
+
+
+@plan("UDF-05", "SELECT 'orders' AS name, 'fixtures' AS role, count(*) AS n_rows, count(*) FILTER (o_orderstatus <> 'P' AND o_totalprice >= 100000) AS n_valid, cast(cast(min(o_orderdate) FILTER (o_orderstatus <> 'P' AND o_totalprice >= 100000) AS date) AS varchar) AS first_date, cast(cast(max(o_orderdate) FILTER (o_orderstatus <> 'P' AND o_totalprice >= 100000) AS date) AS varchar) AS last_date FROM {orders}")
+def source_coverage(t):
+    return dated(order_source(t).coverage())
+
+
+@plan("UDF-05b", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'pending' ELSE 'low_price' END AS reason FROM {orders} WHERE o_orderstatus = 'P' OR o_totalprice < 100000")
+def refused_records(t):
+    return order_source(t).refused().select("o_orderkey", "reason")
+
+
+@plan("UDF-05c", ORACLES["JOIN-09"])
+def linked_source(t):
+    canonical = t("v_matches").select("date", F.col("home_team").alias("home"), F.col("away_team").alias("away"), "match_id")
+    return adapters.Fixtures("fixtures", "fixtures", t("v_source_fixtures"), "date").link_fixtures(canonical)
+
+
+@plan("UDF-05d", "WITH a AS (SELECT p_name, min(p_partkey) AS player_id FROM {part} GROUP BY p_name HAVING min(p_partkey) = max(p_partkey)) SELECT p.p_partkey, a.player_id FROM {part} p LEFT JOIN a ON p.p_name = a.p_name WHERE p.p_size > 10")
+def resolved_source(t):
+    source = adapters.Players("parts", "players", t("part"), "p_size", {"small": F.col("p_size") > 10}, "p_name")
+    return source.resolve_players(t("part").select(F.col("p_name").alias("alias"), F.col("p_partkey").alias("player_id"))).select("p_partkey", "player_id")
+
+
+@plan("UDF-05e", "WITH f AS (SELECT o_custkey AS team, cast(o_orderdate AS date) AS date, max(o_totalprice) AS points FROM {orders} GROUP BY ALL) SELECT f.team, cast(f.date AS varchar) AS date, cast(s.date AS varchar) AS state_date, s.points FROM f ASOF LEFT JOIN (SELECT * FROM f WHERE points >= 100000) s ON f.team = s.team AND f.date > s.date")
+def ranked_source(t):
+    rows = t("orders").groupBy(F.col("o_custkey").alias("team"), F.col("o_orderdate").cast("date").alias("date")).agg(F.max("o_totalprice").alias("points"))
+    return dated(adapters.Rankings("points", "ranking", rows, "date", {"low": F.col("points") >= 100000}).as_of(rows.select("team", "date")))
+
+
+@plan("UDF-05f", "SELECT cast(year(ts) AS int) AS year, event_type, count(*) AS n_events FROM {events} WHERE value IS NOT NULL GROUP BY ALL")
+def covered_events(t):
+    return adapters.Events("events", "events", t("events"), "ts", {"no_value": F.col("value").isNotNull()}, ("event_type",)).event_coverage()

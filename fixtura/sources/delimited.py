@@ -75,3 +75,13 @@ def optional(spark: SparkSession, path: str, schema: str, required: bool = False
     rows = scan(spark, path)
     cells = [(F.nullif(F.trim(f"`{f.name}`"), F.lit("")).try_cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in empty.schema.fields]
     return rows.select(*cells)
+
+
+def settings(lines: DataFrame, taken: list[str]) -> DataFrame:
+    """key and value of lines (seq, line) KEY=VALUE. Blank lines, comments (#) and lines without "=" give nothing; the
+    value may hold "=" itself; the first line of a key holds, and keys already taken are never set anew."""
+    clean = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    rows = lines.select("seq", clean(F.col("line")).alias("line")).where("line not like '#%' and instr(line, '=') > 0")
+    key, value = clean(F.substring_index("line", "=", 1)), clean(F.expr("substring(line, instr(line, '=') + 1)"))
+    pairs = rows.select("seq", key.alias("key"), value.alias("value")).where((F.col("key") != "") & ~F.col("key").isin(taken))
+    return pairs.groupBy("key").agg(F.min_by("value", "seq").alias("value"))

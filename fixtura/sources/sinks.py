@@ -30,6 +30,14 @@ def write_audit(parts: Mapping[str, DataFrame], folder: str, force: bool = False
         df.write.mode("overwrite" if force else "errorifexists").option("header", True).csv(f"{folder}/{name}")
 
 
+def write_report(df: DataFrame, folder: str, force: bool = False) -> None:
+    """A finished report for people (CSV with a header) and for programs (JSON lines, nulls kept), evaluated once."""
+    write_table(df, f"{folder}/rows", force)
+    rows = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/rows")
+    write_audit({"csv": rows}, folder, force)
+    rows.write.mode("overwrite" if force else "errorifexists").option("ignoreNullFields", False).json(f"{folder}/json")
+
+
 def version_of(parts: Mapping[str, object]) -> str:
     """Sixteen digits of the hash of what a dataset was made from."""
     return hashlib.sha256(json.dumps(parts, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()[:16]

@@ -8,7 +8,7 @@ from games import matches, plain_elo
 from pyspark.sql import functions as F
 
 from fixtura.shared import DataError, SchemaError
-from fixtura.sources import delimited, logs, manual, sinks
+from fixtura.sources import adapters, delimited, limits, logs, manual, sinks
 from fixtura.streaming import results
 
 
@@ -139,3 +139,51 @@ def test_knockout_loader_names_all_problems(spark, tmp_path):
     (tmp_path / "short.csv").write_text("match_number,round\n73,final\n")
     with pytest.raises(SchemaError):
         manual.load_knockout(spark, str(tmp_path / "short.csv"))
+
+
+def test_calls_over_the_rate_and_by_day(spark):
+    calls = [("a", 0.0), ("a", 30.0), ("a", 59.999999), ("a", 60.0), ("b", 10.0), ("b", 10.0), ("a", 86400.0), ("c", None)]
+    df = spark.createDataFrame(calls, "client string, s double").select("client", F.timestamp_micros((F.col("s") * 1e6).cast("long")).alias("at"), "s")
+    got = {(r.client, r.s, r.in_window) for r in limits.rate_breaches(df, "client", "at", 2).collect()}
+    expected = set()
+    for c, s in calls:
+        n = sum(1 for d, x in calls if s is not None and x is not None and d == c and s - 60 < x <= s)
+        if n > 2:
+            expected.add((c, s, n))
+    assert got == expected == {("a", 59.999999, 3), ("a", 60.0, 3)}
+    days = {(r.client, str(r.day)): (r.used, r.remaining) for r in limits.daily_use(df, "client", "at", 5, 2).collect()}
+    assert days == {("a", "1970-01-01"): (4, 0), ("a", "1970-01-02"): (1, 2), ("b", "1970-01-01"): (2, 1)}
+    with pytest.raises(ValueError):
+        limits.rate_breaches(df, "client", "at", 0)
+
+
+def test_settings_never_override(spark):
+    lines = ["# A=0", "A = 1=2 ", "A=3", "", "B", "=4", "HOME=/x", "\tC=\t"]
+    rows = delimited.settings(spark.createDataFrame(list(enumerate(lines)), "seq long, line string"), ["HOME"]).collect()
+    assert {(r.key, r.value) for r in rows} == {("A", "1=2"), ("C", "")}
+
+
+def test_adapters_tell_reasons_coverage_and_versions(spark):
+    df = spark.createDataFrame([("x", 1, "2020-01-01"), ("y", None, "2020-02-01"), (None, 5, "2020-03-01"), ("z", 2, "2020-04-01")], "player string, n int, date string")
+    rules = {"no_player": F.col("player").isNotNull(), "n": F.col("n") > 0}
+    source = adapters.Players("p", "players", df, "date", rules)
+    assert isinstance(source, adapters.PlayerAdapter) and not isinstance(source, adapters.RankingAdapter)
+    assert {(r.player, r.reason) for r in source.refused().collect()} == {("y", "n"), (None, "no_player")}
+    row = source.coverage().first()
+    assert (row.n_rows, row.n_valid, str(row.first_date), str(row.last_date)) == (4, 2, "2020-01-01", "2020-04-01")
+    aliases = spark.createDataFrame([("x", 7), ("x", 7), ("z", 1), ("z", 2)], "alias string, player_id long")
+    assert {(r.player, r.player_id) for r in source.resolve_players(aliases).collect()} == {("x", 7), ("z", None)}
+    again = adapters.Players("p", "players", df.orderBy(F.desc("date")), "date", rules)
+    assert source.manifest() == again.manifest() and source.manifest()["rows"] == 2
+    assert adapters.Players("p", "players", df.where("player = 'x'"), "date", rules).manifest()["version"] != source.manifest()["version"]
+    nothing = adapters.TableAdapter("e", "events", df.limit(0), "date").coverage().first()
+    assert (nothing.n_rows, nothing.n_valid, nothing.first_date) == (0, 0, None)
+
+
+def test_reports_are_written_once(spark, tmp_path):
+    df = spark.createDataFrame([("a", None), ("b", 0.5)], "name string, x double")
+    sinks.write_report(df, f"{tmp_path}/r")
+    assert sorted(spark.read.schema(df.schema).json(f"{tmp_path}/r/json").collect()) == sorted(df.collect())
+    assert spark.read.option("header", True).csv(f"{tmp_path}/r/csv").columns == ["name", "x"]
+    with pytest.raises(Exception, match="(?i)exists"):
+        sinks.write_report(df, f"{tmp_path}/r")
