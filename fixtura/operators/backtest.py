@@ -4,26 +4,60 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fixtura.functions.probs import normalised, period_outcomes
 from fixtura.operators import metrics, models
 from fixtura.shared import settle
 
 LEAST_ROWS = 50
 FEATURES = ["d", "ad", "home_adv"]
+#: Models whose probabilities get a temperature, and those that the ensemble mixes.
+CALIBRATED = ("davidson", "poisson", "dixon_coles", "logistic")
+MIXED = ("davidson", "dixon_coles", "logistic")
 
 
-def fold_probabilities(train: DataFrame) -> dict[str, tuple]:
-    """Each model's probability columns, fitted on train."""
+def low_scores_corrected(made: Column, lh: Column, la: Column, rho: float) -> list[Column]:
+    """Win, draw and loss of independent goals with the four low scores corrected: only these cells change."""
+    none = F.exp(-lh - la)
+    more = lambda h, a, p: p * (models.low_score_factor(F.lit(h), F.lit(a), lh, la, F.lit(rho)) - 1)
+    return normalised([made["win"] + more(1, 0, none * lh), made["draw"] + more(0, 0, none) + more(1, 1, none * lh * la), made["loss"] + more(0, 1, none * la)])
+
+
+def shares_by(train: DataFrame, key: Column, values: Sequence[int]) -> list[Column]:
+    """Train's shares of the labels where key has each of a few fixed values; those of a value never seen are equal."""
+    found = {r["key"]: r for r in models.class_frequencies(train.withColumn("key", key), ["key"]).where(F.col("key").isin(*values)).collect()}
+    out = []
+    for k in range(3):
+        share = F.lit(1 / 3)
+        for v, r in found.items():
+            share = F.when(key == v, F.lit(float(r[f"p{k}"]))).otherwise(share)
+        out.append(share)
+    return out
+
+
+def with_members(train: DataFrame, rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """rows with columns <model>_0 to <model>_2 of every model fitted on train, and the models' names."""
     nu = models.fit_davidson(train, F.col("elo_diff"))
     weights = models.fit_logistic(train, FEATURES)
     counts = models.class_frequencies(train).first()
-    return {
-        "davidson": tuple(models.davidson(F.col("elo_diff"), F.lit(nu))),
-        "logistic": tuple(models.logistic_probabilities(weights, FEATURES)),
-        "frequency": tuple(F.lit(float(counts[f"p{k}"])) for k in range(3)),
+    beta = models.fit_poisson(models.poisson_rows(train))
+    rates = dict(zip(("rate_home", "rate_away"), models.expected_goals(beta, F.col("elo_diff"), F.col("home_adv")), strict=True))
+    rho = models.fit_rho(settle(train.select("home_score", "away_score", *[c.alias(n) for n, c in rates.items()]), "rates"), "rate_home", "rate_away")
+    lh, la, made = F.col("rate_home"), F.col("rate_away"), F.col("period")
+    cells = {
+        "uniform": [F.lit(1 / 3)] * 3,
+        "frequency": [F.lit(float(counts[f"p{k}"])) for k in range(3)],
+        "context": shares_by(train, (F.col("home_adv") > 0).cast("int"), (0, 1)),
+        "higher_rated": shares_by(train, F.signum("elo_diff").cast("int"), (-1, 0, 1)),
+        "davidson": models.davidson(F.col("elo_diff"), F.lit(nu)),
+        "poisson": normalised([made["win"], made["draw"], made["loss"]]),
+        "dixon_coles": low_scores_corrected(made, lh, la, rho),
+        "logistic": models.logistic_probabilities(weights, FEATURES),
     }
+    rows = settle(rows.withColumns(rates).withColumn("period", period_outcomes(lh, la)), "periods")
+    return rows.withColumns({f"{m}_{k}": p[k] for m, p in cells.items() for k in range(3)}), list(cells)
 
 
 def run_fold(rows: DataFrame, date: str, year: int, val_years: int = 3) -> DataFrame:
@@ -32,27 +66,36 @@ def run_fold(rows: DataFrame, date: str, year: int, val_years: int = 3) -> DataF
     sizes = {r["part"]: r["n"] for r in parts.groupBy("part").agg(F.count("*").alias("n")).collect()}  # three rows
     if any(sizes.get(p, 0) < LEAST_ROWS for p in ("train", "validation", "test")):
         raise ValueError(f"fold {year} has too few rows: {sizes}")
-    train, validation, test = (parts.where(F.col("part") == p) for p in ("train", "validation", "test"))
-    made = fold_probabilities(train)
-    names = [f"{m}_{k}" for m in made for k in range(3)]
-    cells = {f"{m}_{k}": p[k] for m, p in made.items() for k in range(3)}
-    validation = validation.select("label", *[cells[n].alias(n) for n in names])
-    calibrated = {}
-    for m in made:
-        heat = models.fit_temperature(validation, [f"{m}_{k}" for k in range(3)])
-        calibrated[m] = models.tempered([F.col(f"{m}_{k}") for k in range(3)], F.lit(heat))
-    true = {m: F.when(F.col("label") == 0, p[0]).when(F.col("label") == 1, p[1]).otherwise(p[2]).alias(m) for m, p in calibrated.items()}
-    weights = models.fit_mixture(validation.select(*true.values()), list(made))
-    mix = [sum((w * p[k] for w, p in zip(weights, calibrated.values(), strict=True)), F.lit(0.0)) for k in range(3)]
-    total = mix[0] + mix[1] + mix[2]
-    calibrated["ensemble"] = [c / total for c in mix]
-    rows = test.select("label", *[cells[n].alias(n) for n in names])
-    forms = [F.struct(F.lit(m).alias("model"), *[p[k].alias(f"p{k}") for k in range(3)]) for m, p in calibrated.items()]
-    return rows.select(F.lit(year).alias("fold"), "label", F.explode(F.array(*forms)).alias("x")).select("fold", "label", "x.*")
+    judged, names = with_members(parts.where("part = 'train'"), parts.where("part <> 'train'"))
+    judged = settle(judged.select("part", "label", *[f"{m}_{k}" for m in names for k in range(3)]), "members")
+    cells = {}
+    for m in CALIBRATED:
+        own = [f"{m}_{k}" for k in range(3)]
+        heat = models.fit_temperature(judged.where("part = 'validation'"), own)
+        cells |= {f"{m}_calibrated_{k}": p for k, p in enumerate(models.tempered([F.col(c) for c in own], F.lit(heat)))}
+    judged = settle(judged.withColumns(cells), "calibrated")
+    validation, test = judged.where("part = 'validation'"), judged.where("part = 'test'")
+    forms = {m: [F.col(f"{m}_{k}") for k in range(3)] for m in [*names, *[f"{m}_calibrated" for m in CALIBRATED]]}
+    mixed = {m: forms[f"{m}_calibrated"] for m in MIXED}
+    true = [F.when(F.col("label") == 0, p[0]).when(F.col("label") == 1, p[1]).otherwise(p[2]).alias(m) for m, p in mixed.items()]
+    weights = models.fit_mixture(settle(validation.select(*true), "mixture"), list(mixed))
+    forms["ensemble"] = normalised([sum((w * p[k] for w, p in zip(weights, mixed.values(), strict=True)), F.lit(0.0)) for k in range(3)])
+    long = [F.struct(F.lit(m).alias("model"), *[p[k].alias(f"p{k}") for k in range(3)]) for m, p in forms.items()]
+    return test.select(F.lit(year).alias("fold"), "label", F.explode(F.array(*long)).alias("x")).select("fold", "label", "x.*")
+
+
+def possible_years(rows: DataFrame, date: str = "date", val_years: int = 3) -> list[int]:
+    """The years whose fold has rows enough to fit, validate and test on."""
+    sizes = {r["year"]: r["n"] for r in rows.groupBy(F.year(date).alias("year")).agg(F.count("*").alias("n")).collect() if r["year"] is not None}  # a row per year
+    between = lambda first, end: sum(n for y, n in sizes.items() if first <= y < end)
+    least = min(sizes, default=0)
+    return [y for y in sorted(sizes) if min(between(least, y - val_years), between(y - val_years, y), sizes[y]) >= LEAST_ROWS]
 
 
 def run_backtest(rows: DataFrame, years: Sequence[int], val_years: int = 3, date: str = "date") -> DataFrame:
     """Scores per fold and pooled (fold 0) of every model over the union of the folds' test rows."""
+    if not years:
+        raise ValueError("no year has rows enough for a fold")
     rows = rows.withColumns({"d": F.col("elo_diff") / 400, "ad": F.abs(F.col("elo_diff") / 400)})
     folds = [run_fold(rows, date, y, val_years) for y in years]
     every = folds[0]

@@ -55,15 +55,18 @@ def strength_sign(df: DataFrame, column: str = "elo_diff") -> DataFrame:
 
 def grid_minimum(df: DataFrame, loss: Callable[[Column], Column], low: float, high: float, steps: int = 33, rounds: int = 4) -> tuple[float, float]:
     """(argument, mean loss) of the least mean loss in [low, high]. Each round is one aggregate over all candidates
-    at once, then the interval shrinks to the neighbours of the best."""
+    at once, which stand in an array, so that every round runs the same generated code; then the interval shrinks to
+    the neighbours of the best."""
     best = (low, math.inf)
     for _ in range(rounds):
         points = np.linspace(low, high, steps)
-        losses = df.agg(*[F.avg(loss(F.lit(float(x)))).alias(f"l{i}") for i, x in enumerate(points)]).first()
-        if losses["l0"] is None:
+        tried = df.select("*", F.posexplode(F.array(*[F.lit(float(x)) for x in points])).alias("grid_at", "grid_point"))
+        found = tried.groupBy("grid_at").agg(F.avg(loss(F.col("grid_point"))).alias("mean")).collect()  # a row per candidate
+        losses = {r["grid_at"]: r["mean"] for r in found}
+        if losses.get(0) is None:
             return best
-        at = int(np.argmin([losses[f"l{i}"] for i in range(steps)]))
-        best = (float(points[at]), float(losses[f"l{at}"]))
+        at = int(np.argmin([losses[i] for i in range(steps)]))
+        best = (float(points[at]), float(losses[at]))
         low, high = float(points[max(0, at - 1)]), float(points[min(steps - 1, at + 1)])
     return best
 

@@ -307,12 +307,12 @@ def softmax(t):
 
 @plan("PIPE-02")
 def backtest(t):
-    """Expanding-window evaluation: per fold, models fitted on earlier rows, temperature and mixture on the years
-    before the test year, pooled scores. Fits are loops; tests hold their parts against known answers."""
-    from fixtura.operators.backtest import run_backtest
+    """Expanding-window evaluation over every year with rows enough: models fitted on earlier rows, temperature and
+    mixture on the three years before, pooled scores. Fits are loops; tests hold their parts against known answers."""
+    from fixtura.operators.backtest import possible_years, run_backtest
 
     rows = goal_rows(t).withColumn("date", F.make_date(F.col("year").cast("int"), F.lit(6), F.lit(1)))
-    return six(run_backtest(rows, [1999, 2000], 2))
+    return six(run_backtest(rows, possible_years(rows)))
 
 
 @plan("TOPK-07", f"WITH s AS (SELECT 'first' AS model, {LOSS} AS l FROM {{v_preds}} UNION ALL SELECT 'second', -ln(CASE label WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END + 1e-12) FROM {{v_preds}} UNION ALL SELECT 'uniform', -ln(1 / 3.0 + 1e-12) FROM {{v_preds}}), m AS (SELECT model, avg(l) AS log_loss FROM s GROUP BY model) SELECT model, round(log_loss, 6) AS log_loss, row_number() OVER (ORDER BY log_loss) AS place FROM m")
