@@ -155,16 +155,18 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, per_class: int = 3_000, seed: int = 53, **options) -> list[Rule]:
-    """Rules from about per_class labelled rows of each quality, drawn by hash and collected as statistics."""
-    marked = labels.where("quality is not null and doc_id is not null").select("doc_id", (F.col("quality") == 0).alias("bad"))
+    """Rules from about per_class labelled ids of each quality, drawn by hash and collected as statistics. However often
+    an id is labelled alike, it counts once; of several texts of one id the one of the least statistics counts."""
+    marked = labels.where("quality is not null and doc_id is not null").select("doc_id", (F.col("quality") == 0).alias("bad")).distinct()
     counts = {r["bad"]: r["n"] for r in marked.groupBy("bad").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return []
     share = F.when(F.col("bad"), F.lit(min(1.0, per_class / counts[True]))).otherwise(F.lit(min(1.0, per_class / counts[False])))
     lot = unit_hash(F.lit(seed), F.col("doc_id"))
-    sample = marked.withColumn("lot", lot).where(F.col("lot") < share)
-    drawn = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # about 2 * per_class short rows
-    rows = statistics(drawn).join(F.broadcast(sample), "doc_id").select("lot", "doc_id", "bad", *FEATURES).collect()
+    sample = F.broadcast(marked.withColumn("lot", lot).where(F.col("lot") < share))  # about 2 * per_class short rows
+    drawn = docs.select("doc_id", "text").join(sample, "doc_id", "left_semi")
+    one = statistics(drawn).groupBy("doc_id").agg(F.min(F.struct(*FEATURES)).alias("counts"))
+    rows = one.join(sample, "doc_id").select("lot", "doc_id", "bad", "counts.*").collect()
     return learn_rules([({f: float(r[f]) for f in FEATURES}, bool(r["bad"])) for r in sorted(rows, key=lambda r: (r["lot"], r["doc_id"]))], **options)
 
 

@@ -291,6 +291,15 @@ def test_rules_are_learnt_and_pruned():
     assert sum(any(quality_rules.holds(r, x) for r in rules) == bad for x, bad in rows) >= 595
 
 
+def test_repeated_labels_and_rows_teach_once(spark):
+    texts = ["plain words of a calm text " * 12, "# $ % & | < > ## $$ %% noise " * 12]
+    docs = spark.createDataFrame([(k, f"{texts[k % 3 == 0]}{k}") for k in range(240)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 != 0)) for k in range(240)], "doc_id long, quality int")
+    once = quality_rules.fit_rules(docs, labels)
+    hot = docs.where("doc_id = 6").crossJoin(spark.range(200).select()).select("doc_id", "text")
+    assert once and once == quality_rules.fit_rules(docs.union(hot).union(docs), labels.union(labels.where("doc_id < 9")).union(labels))
+
+
 def test_no_labels_no_rules(docs, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_rules.judge_quality(docs, none).where("rule <> 0").count() == 0
