@@ -2,6 +2,13 @@
 
 Each stage is (spark, docs, sf_dir) -> DataFrame over all its predecessor kept; its result is written as Parquet
 and read again as the next one's docs. All but the last return the columns of documents.
+
+Defined cases. A null or empty text, or one without a letter, goes in the first stage, as its language can't be told; a
+null lang is filled with the predicted one. A row without an id takes part: null ids never make two texts one. Rows
+repeated whole are copies, so one stays; of linked documents with equal ids all rows of the smallest id stay. A null
+source is a source, the last one. Very long texts are read whole by every stage and cut into pieces by the last alone.
+Ties go to the larger doc_id among copies, to the smaller among near copies. Further columns, whatever their names, are
+carried to the last stage, which returns its own columns. Empty documents give an empty result of the same columns.
 """
 
 from __future__ import annotations
