@@ -248,3 +248,28 @@ def test_completed_overlay_is_fixed_exactly_once(spark):
     assert [r.fixture_id for r in simulate.validate_completed(fixtures, results((1, 2, 1))).collect()] == [1]
     with pytest.raises(DataError):
         simulate.validate_completed(fixtures, results((1, 2, 1), (4, 0, 1)))
+
+
+def test_corrected_outcomes_are_those_of_the_whole_matrix(spark):
+    from fixtura.functions.probs import period_outcomes
+    from fixtura.operators import backtest
+
+    rates, rho = [(1.4, 0.9), (0.3, 2.2), (1.0, 1.0)], -0.08
+    rows = spark.createDataFrame(rates, "lh double, la double").withColumn("made", period_outcomes(F.col("lh"), F.col("la")))
+    p = backtest.low_scores_corrected(F.col("made"), F.col("lh"), F.col("la"), rho)
+    got = {(r.lh, r.la): (r.p0, r.p1, r.p2) for r in rows.select("lh", "la", *[c.alias(f"p{k}") for k, c in enumerate(p)]).collect()}
+    for lh, la in rates:
+        tau = {(0, 0): 1 - lh * la * rho, (1, 0): 1 + la * rho, (0, 1): 1 + lh * rho, (1, 1): 1 - rho}
+        cells = {(h, a): math.exp(-lh - la) * lh**h * la**a / math.factorial(h) / math.factorial(a) * tau.get((h, a), 1) for h in range(31) for a in range(31)}
+        total = sum(cells.values())
+        sides = [sum(v for (h, a), v in cells.items() if test(h, a)) / total for test in (lambda h, a: h > a, lambda h, a: h == a, lambda h, a: h < a)]
+        assert got[lh, la] == pytest.approx(sides, abs=1e-9)
+
+
+def test_folds_of_every_possible_year(spark):
+    from fixtura.operators import backtest
+
+    years = {2001: 60, 2002: 10, 2003: 10, 2004: 40, 2005: 60, 2006: 49, 2007: 50}
+    rows = spark.createDataFrame([(y,) for y, n in years.items() for _ in range(n)], "year int").selectExpr("make_date(year, 7, 1) AS date")
+    assert backtest.possible_years(rows) == [2005, 2007]
+    assert backtest.possible_years(rows.limit(0)) == []
