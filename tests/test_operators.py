@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -273,3 +274,27 @@ def test_folds_of_every_possible_year(spark):
     rows = spark.createDataFrame([(y,) for y, n in years.items() for _ in range(n)], "year int").selectExpr("make_date(year, 7, 1) AS date")
     assert backtest.possible_years(rows) == [2005, 2007]
     assert backtest.possible_years(rows.limit(0)) == []
+
+
+def test_whole_score_matrices_are_searched_in_time(spark):
+    """20,000 matrices take seconds: no sum over the matrix is made again for each of its cells."""
+    rates = spark.range(20_000).select("id", (0.05 + F.col("id") % 397 / 40).alias("lh"), (0.05 + F.col("id") % 211 / 30).alias("la")).repartition(4)
+    began = time.monotonic()
+    got = {r["id"]: r["scores"] for r in models.likely_scores(rates, F.col("lh"), F.col("la"), ["id"], 3).collect()}
+    assert time.monotonic() - began < 40
+    assert len(got) == 20_000
+    for k in range(0, 20_000, 997):
+        lh, la = 0.05 + k % 397 / 40, 0.05 + k % 211 / 30
+        x, y = ([math.exp(-r + g * math.log(r) - math.lgamma(g + 1)) for g in range(13)] for r in (lh, la))
+        cells = sorted((-round(p * q / (sum(x) * sum(y)), 9), h, a) for h, p in enumerate(x) for a, q in enumerate(y))[:3]
+        assert [(s["h"], s["a"]) for s in got[k]] == [c[1:] for c in cells]
+        assert [s["p"] for s in got[k]] == pytest.approx([-c[0] for c in cells], abs=1e-8)
+
+
+def test_odd_rates_have_their_first_cells(spark):
+    """Next to no goals: all cells but one are equal to nine places, so the lower scores follow; no rate: no p."""
+    rates = spark.createDataFrame([(0, 1e-12, 1e-12), (1, None, 1.0), (2, 2.0, 2.0)], "id int, lh double, la double")
+    got = {r["id"]: [tuple(s) for s in r["scores"]] for r in models.likely_scores(rates, F.col("lh"), F.col("la"), ["id"], 3).collect()}
+    assert [s[:2] for s in got[0]] == [(0, 0), (0, 1), (0, 2)]
+    assert got[1] == [(0, 0, None), (0, 1, None), (0, 2, None)]
+    assert [s[:2] for s in got[2]] == [(1, 1), (1, 2), (2, 1)]
