@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,26 +103,34 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return 2 * 6371.0088 * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
+def period_sums(most: int):
+    """The function behind period_outcomes: two arrays of rates to win, draw and loss."""
+
+    def sums(home: pa.Array, away: pa.Array) -> pa.Array:
+        a, b = (np.array(r.to_numpy(zero_copy_only=False), dtype=float) for r in (home, away))
+        with np.errstate(all="ignore"):
+            x, y = np.exp(-a), np.exp(-b)
+            fewer_x, fewer_y, win, draw, loss = (np.zeros(len(a)) for _ in range(5))
+            for k in range(1, most + 2):
+                win += x * fewer_y
+                draw += x * y
+                loss += y * fewer_x
+                fewer_x += x
+                fewer_y += y
+                x, y = x * a / k, y * b / k
+        none = np.isnan(a) | np.isnan(b)
+        return pa.StructArray.from_arrays([pa.array(v, pa.float64(), mask=none) for v in (win, draw, loss)], ["win", "draw", "loss"])
+
+    return sums
+
+
 def period_outcomes(a: Column, b: Column, most: int = 40) -> Column:
     """win, draw, loss of a period with Poisson goals at these rates, as a struct, in one fold over the goals.
 
     Each step holds the chances that either side has k goals, which follow from those of k - 1, and their running sums:
-    a side wins with k goals if the other has fewer. Goals beyond `most` are left out."""
-    zero = F.lit(0.0)
-    start = F.struct(F.exp(-a).alias("x"), F.exp(-b).alias("y"), zero.alias("fewer_x"), zero.alias("fewer_y"), zero.alias("win"), zero.alias("draw"), zero.alias("loss"))
-
-    def step(acc: Column, k: Column) -> Column:
-        return F.struct(
-            (acc["x"] * a / k).alias("x"),
-            (acc["y"] * b / k).alias("y"),
-            (acc["fewer_x"] + acc["x"]).alias("fewer_x"),
-            (acc["fewer_y"] + acc["y"]).alias("fewer_y"),
-            (acc["win"] + acc["x"] * acc["fewer_y"]).alias("win"),
-            (acc["draw"] + acc["x"] * acc["y"]).alias("draw"),
-            (acc["loss"] + acc["y"] * acc["fewer_x"]).alias("loss"),
-        )
-
-    return F.aggregate(F.array(*[F.lit(float(k)) for k in range(1, most + 2)]), start, step, lambda acc: F.struct(acc["win"].alias("win"), acc["draw"].alias("draw"), acc["loss"].alias("loss")))
+    a side wins with k goals if the other has fewer. Goals beyond `most` are left out. The fold runs over arrays of
+    many rows at once, so it can't stand inside a lambda."""
+    return F.arrow_udf(period_sums(most), "win double, draw double, loss double")(a.cast("double"), b.cast("double"))
 
 
 def skellam_outcomes(a: Column, b: Column) -> tuple[Column, Column, Column]:

@@ -154,8 +154,8 @@ def goal_split(total: Column, skill: Column) -> tuple[Column, Column]:
 def staged_advance(total: Column, skill: Column, shootout: Column) -> Column:
     """The favourite's chance through regulation, extra time at a third of the rates, and a shootout."""
     a, b = goal_split(total, skill)
-    late = lambda o: probs.let(probs.period_outcomes(a / 3, b / 3), lambda x: o["win"] + o["draw"] * (x["win"] + x["draw"] * shootout))
-    return probs.let(probs.period_outcomes(a, b), late)
+    o, x = probs.period_outcomes(a, b), probs.period_outcomes(a / 3, b / 3)
+    return o["win"] + o["draw"] * (x["win"] + x["draw"] * shootout)
 
 
 def survival_inputs(s: Survival = Survival()) -> dict[str, Column]:

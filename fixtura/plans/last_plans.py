@@ -134,7 +134,7 @@ def consensus(t):
 def survival_tags(t):
     """How often each path of an upset is named."""
     made = signals.knockout_survival(t.sql(aggregate_plans.STYLES))
-    return made.where("tags <> ''").select(F.explode(F.split("tags", r"\|")).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    return made.select(F.explode(F.split("tags", r"\|")).alias("tag")).where("tag <> ''").groupBy("tag").agg(F.count("*").alias("n"))
 
 
 @plan("SIG-12")

@@ -298,3 +298,13 @@ def test_odd_rates_have_their_first_cells(spark):
     assert [s[:2] for s in got[0]] == [(0, 0), (0, 1), (0, 2)]
     assert got[1] == [(0, 0, None), (0, 1, None), (0, 2, None)]
     assert [s[:2] for s in got[2]] == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_periods_are_summed_in_arrays(spark):
+    """No fold of 41 steps runs in each row, and none is planned twice where its result is filtered and split."""
+    rates = spark.createDataFrame([(1.4, 1.0), (None, 1.0), (0.0, 2.0)], "a double, b double").withColumn("made", probs.period_outcomes(F.col("a"), F.col("b")))
+    plan = rates._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan and "Python" in plan
+    got = [r.made for r in rates.collect()]
+    assert tuple(got[0]) == pytest.approx([0.458, 0.270, 0.272], abs=1e-3) and tuple(got[1]) == (None, None, None)
+    assert tuple(got[2]) == pytest.approx([0, math.exp(-2), 1 - math.exp(-2)], abs=1e-12)
