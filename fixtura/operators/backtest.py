@@ -18,6 +18,19 @@ CALIBRATED = ("davidson", "poisson", "dixon_coles", "logistic")
 MIXED = ("davidson", "dixon_coles", "logistic")
 
 
+#: What a fold reads of a row besides its date.
+READ = ("label", "elo_diff", "home_adv", "home_score", "away_score", "d", "ad")
+
+
+def tallied(rows: DataFrame, date: str = "date") -> DataFrame:
+    """Rows that a fold can't tell apart as one row with their number, `copies`: folds are cut at the turn of years, so
+    its date is the first of its year. Fits and scores weigh rows by copies, so their results are those of all rows."""
+    if "copies" in rows.columns:
+        return rows
+    counted = rows.groupBy(F.year(date).alias("year_"), *READ).agg(F.count("*").alias("copies"))
+    return counted.withColumn(date, F.make_date("year_", F.lit(1), F.lit(1))).drop("year_")
+
+
 def low_scores_corrected(made: Column, lh: Column, la: Column, rho: float) -> list[Column]:
     """Win, draw and loss of independent goals with the four low scores corrected: only these cells change."""
     none = F.exp(-lh - la)
@@ -27,7 +40,7 @@ def low_scores_corrected(made: Column, lh: Column, la: Column, rho: float) -> li
 
 def shares_by(train: DataFrame, key: Column, values: Sequence[int]) -> list[Column]:
     """Train's shares of the labels where key has each of a few fixed values; those of a value never seen are equal."""
-    found = {r["key"]: r for r in models.class_frequencies(train.withColumn("key", key), ["key"]).where(F.col("key").isin(*values)).collect()}
+    found = {r["key"]: r for r in models.class_frequencies(train.withColumn("key", key), ["key"], "copies").where(F.col("key").isin(*values)).collect()}
     out = []
     for k in range(3):
         share = F.lit(1 / 3)
@@ -38,13 +51,13 @@ def shares_by(train: DataFrame, key: Column, values: Sequence[int]) -> list[Colu
 
 
 def with_members(train: DataFrame, rows: DataFrame) -> tuple[DataFrame, list[str]]:
-    """rows with columns <model>_0 to <model>_2 of every model fitted on train, and the models' names."""
-    nu = models.fit_davidson(train, F.col("elo_diff"))
-    weights = models.fit_logistic(train, FEATURES)
-    counts = models.class_frequencies(train).first()
-    beta = models.fit_poisson(models.poisson_rows(train))
+    """rows with columns <model>_0 to <model>_2 of every model fitted on train (tallied), and the models' names."""
+    nu = models.fit_davidson(train, F.col("elo_diff"), "copies")
+    weights = models.fit_logistic(train, FEATURES, weight="copies")
+    counts = models.class_frequencies(train, weight="copies").first()
+    beta = models.fit_poisson(models.poisson_rows(train, "copies"), weight="copies")
     rates = dict(zip(("rate_home", "rate_away"), models.expected_goals(beta, F.col("elo_diff"), F.col("home_adv")), strict=True))
-    rho = models.fit_rho(settle(train.select("home_score", "away_score", *[c.alias(n) for n, c in rates.items()]), "rates"), "rate_home", "rate_away")
+    rho = models.fit_rho(settle(train.select("copies", "home_score", "away_score", *[c.alias(n) for n, c in rates.items()]), "rates"), "rate_home", "rate_away", weight="copies")
     lh, la, made = F.col("rate_home"), F.col("rate_away"), F.col("period")
     cells = {
         "uniform": [F.lit(1 / 3)] * 3,
@@ -61,45 +74,51 @@ def with_members(train: DataFrame, rows: DataFrame) -> tuple[DataFrame, list[str
 
 
 def run_fold(rows: DataFrame, date: str, year: int, val_years: int = 3) -> DataFrame:
-    """Test rows of one fold in long form: model, p0..p2, label. Fitted before validation, calibrated and mixed on it."""
-    parts = settle(models.with_folds(rows, date, [year], val_years), "fold")
-    sizes = {r["part"]: r["n"] for r in parts.groupBy("part").agg(F.count("*").alias("n")).collect()}  # three rows
+    """Test rows of one fold in long form, tallied: model, p0..p2, label, copies. Fitted before validation, calibrated
+    and mixed on it."""
+    parts = settle(models.with_folds(tallied(rows, date), date, [year], val_years), "fold")
+    sizes = {r["part"]: r["n"] for r in parts.groupBy("part").agg(F.sum("copies").alias("n")).collect()}  # three rows
     if any(sizes.get(p, 0) < LEAST_ROWS for p in ("train", "validation", "test")):
         raise ValueError(f"fold {year} has too few rows: {sizes}")
     judged, names = with_members(parts.where("part = 'train'"), parts.where("part <> 'train'"))
-    judged = settle(judged.select("part", "label", *[f"{m}_{k}" for m in names for k in range(3)]), "members")
+    judged = settle(judged.select("part", "label", "copies", *[f"{m}_{k}" for m in names for k in range(3)]), "members")
     cells = {}
     for m in CALIBRATED:
         own = [f"{m}_{k}" for k in range(3)]
-        heat = models.fit_temperature(judged.where("part = 'validation'"), own)
+        heat = models.fit_temperature(judged.where("part = 'validation'"), own, "copies")
         cells |= {f"{m}_calibrated_{k}": p for k, p in enumerate(models.tempered([F.col(c) for c in own], F.lit(heat)))}
     judged = settle(judged.withColumns(cells), "calibrated")
     validation, test = judged.where("part = 'validation'"), judged.where("part = 'test'")
     forms = {m: [F.col(f"{m}_{k}") for k in range(3)] for m in [*names, *[f"{m}_calibrated" for m in CALIBRATED]]}
     mixed = {m: forms[f"{m}_calibrated"] for m in MIXED}
     true = [F.when(F.col("label") == 0, p[0]).when(F.col("label") == 1, p[1]).otherwise(p[2]).alias(m) for m, p in mixed.items()]
-    weights = models.fit_mixture(settle(validation.select(*true), "mixture"), list(mixed))
+    weights = models.fit_mixture(settle(validation.select("copies", *true), "mixture"), list(mixed), weight="copies")
     forms["ensemble"] = normalised([sum((w * p[k] for w, p in zip(weights, mixed.values(), strict=True)), F.lit(0.0)) for k in range(3)])
     long = [F.struct(F.lit(m).alias("model"), *[p[k].alias(f"p{k}") for k in range(3)]) for m, p in forms.items()]
-    return test.select(F.lit(year).alias("fold"), "label", F.explode(F.array(*long)).alias("x")).select("fold", "label", "x.*")
+    return test.select(F.lit(year).alias("fold"), "label", "copies", F.explode(F.array(*long)).alias("x")).select("fold", "label", "copies", "x.*")
 
 
 def possible_years(rows: DataFrame, date: str = "date", val_years: int = 3) -> list[int]:
     """The years whose fold has rows enough to fit, validate and test on."""
-    sizes = {r["year"]: r["n"] for r in rows.groupBy(F.year(date).alias("year")).agg(F.count("*").alias("n")).collect() if r["year"] is not None}  # a row per year
+    n = F.sum("copies") if "copies" in rows.columns else F.count("*")
+    sizes = {r["year"]: r["n"] for r in rows.groupBy(F.year(date).alias("year")).agg(n.alias("n")).collect() if r["year"] is not None}  # a row per year
     between = lambda first, end: sum(n for y, n in sizes.items() if first <= y < end)
     least = min(sizes, default=0)
     return [y for y in sorted(sizes) if min(between(least, y - val_years), between(y - val_years, y), sizes[y]) >= LEAST_ROWS]
 
 
+def with_features(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"d": F.col("elo_diff") / 400, "ad": F.abs(F.col("elo_diff") / 400)})
+
+
 def run_backtest(rows: DataFrame, years: Sequence[int], val_years: int = 3, date: str = "date") -> DataFrame:
     """Scores per fold and pooled (fold 0) of every model over the union of the folds' test rows."""
     if not years:
         raise ValueError("no year has rows enough for a fold")
-    rows = rows.withColumns({"d": F.col("elo_diff") / 400, "ad": F.abs(F.col("elo_diff") / 400)})
+    rows = rows if "copies" in rows.columns else settle(tallied(with_features(rows), date), "tally")
     folds = [run_fold(rows, date, y, val_years) for y in years]
     every = folds[0]
     for f in folds[1:]:
         every = every.unionByName(f)
     both = every.withColumn("fold", F.explode(F.array(F.col("fold"), F.lit(0))))
-    return metrics.summary(both, ("fold", "model"))
+    return metrics.summary(both, ("fold", "model"), "copies")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fixtura.functions.hashing import hash_uniform
+from fixtura.operators.models import mean_of
 
 P = ("p0", "p1", "p2")
 
@@ -49,15 +50,19 @@ def correct(label: str = "label", p: tuple[str, ...] = P) -> Column:
     return (predicted(p) == F.col(label)).cast("double")
 
 
-def confidence_bins(df: DataFrame, bins: int = 10, p: tuple[str, ...] = P, by: tuple[str, ...] = ()) -> DataFrame:
+def number_of(weight: str | None = None) -> Column:
+    return F.sum(weight) if weight else F.count("*")
+
+
+def confidence_bins(df: DataFrame, bins: int = 10, p: tuple[str, ...] = P, by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
     """Per bin of the largest probability (cut by truncation): rows, mean confidence, share correct."""
     number = F.least(F.floor(confidence(p) * bins), F.lit(bins - 1)).cast("int")
-    rows = df.select(*by, number.alias("bin"), confidence(p).alias("c"), correct(p=p).alias("hit"))
-    return rows.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg("c").alias("mean_confidence"), F.avg("hit").alias("empirical_accuracy"))
+    rows = df.select(*by, number.alias("bin"), confidence(p).alias("c"), correct(p=p).alias("hit"), *[weight] if weight else [])
+    return rows.groupBy(*by, "bin").agg(number_of(weight).alias("n"), mean_of(F.col("c"), weight).alias("mean_confidence"), mean_of(F.col("hit"), weight).alias("empirical_accuracy"))
 
 
-def calibration_error(df: DataFrame, bins: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
-    made = confidence_bins(df, bins, by=by)
+def calibration_error(df: DataFrame, bins: int = 10, by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
+    made = confidence_bins(df, bins, by=by, weight=weight)
     gap = F.sum(F.col("n") * F.abs(F.col("mean_confidence") - F.col("empirical_accuracy"))) / F.sum("n")
     return made.groupBy(*by).agg(gap.alias("ece"))
 
@@ -76,10 +81,11 @@ def class_calibration(df: DataFrame, bins: int = 10, p: tuple[str, ...] = P) ->
     return long.groupBy("class", number.alias("bin")).agg(F.count("*").alias("n"), F.avg("p").alias("mean_predicted"), F.avg("hit").alias("empirical"))
 
 
-def summary(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """n, log_loss, brier, rps, accuracy and ece, per group of `by`."""
-    means = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(log_loss()).alias("log_loss"), F.avg(brier()).alias("brier"), F.avg(rps()).alias("rps"), F.avg(correct()).alias("accuracy"))
-    gaps = calibration_error(df, by=by)
+def summary(df: DataFrame, by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
+    """n, log_loss, brier, rps, accuracy and ece, per group of `by`; with a weight, a row counts as often as it says."""
+    scores = {"log_loss": log_loss(), "brier": brier(), "rps": rps(), "accuracy": correct()}
+    means = df.groupBy(*by).agg(number_of(weight).alias("n"), *[mean_of(c, weight).alias(n) for n, c in scores.items()])
+    gaps = calibration_error(df, by=by, weight=weight)
     return means.join(gaps, list(by)) if by else means.join(F.broadcast(gaps))
 
 

@@ -306,5 +306,23 @@ def test_periods_are_summed_in_arrays(spark):
     plan = rates._jdf.queryExecution().executedPlan().toString()
     assert "aggregate(" not in plan and "Python" in plan
     got = [r.made for r in rates.collect()]
-    assert tuple(got[0]) == pytest.approx([0.458, 0.270, 0.272], abs=1e-3) and tuple(got[1]) == (None, None, None)
+    direct = [sum(poisson(h, 1.4) * poisson(a, 1.0) for h in range(30) for a in range(30) if (h < a) - (h > a) == side) for side in (-1, 0, 1)]
+    assert tuple(got[0]) == pytest.approx(direct, abs=1e-9) and tuple(got[1]) == (None, None, None)
     assert tuple(got[2]) == pytest.approx([0, math.exp(-2), 1 - math.exp(-2)], abs=1e-12)
+
+
+def test_a_fold_reads_equal_rows_once(spark):
+    """Tallied rows give each fit and score what all rows give."""
+    from fixtura.operators import backtest
+
+    rnd = random.Random(5)
+    rows = [(f"{rnd.choice((1999, 2000))}-{rnd.randint(1, 12):02d}-03", rnd.randint(0, 2), float(rnd.choice((-100, 0, 150))), float(rnd.randint(0, 1)), rnd.randint(0, 3), rnd.randint(0, 3)) for _ in range(4000)]
+    df = backtest.with_features(spark.createDataFrame(rows, "date string, label int, elo_diff double, home_adv double, home_score int, away_score int").withColumn("date", F.col("date").cast("date")))
+    few = backtest.tallied(df).cache()
+    assert few.count() < 1000 and few.agg(F.sum("copies")).first()[0] == 4000
+    assert backtest.possible_years(few, val_years=0) == backtest.possible_years(df, val_years=0)
+    assert models.fit_davidson(few, F.col("elo_diff"), "copies") == pytest.approx(models.fit_davidson(df, F.col("elo_diff")), abs=1e-6)
+    assert np.array(models.fit_logistic(few, ["d", "home_adv"], weight="copies")) == pytest.approx(np.array(models.fit_logistic(df, ["d", "home_adv"])), abs=1e-7)
+    assert models.fit_poisson(models.poisson_rows(few, "copies"), weight="copies") == pytest.approx(models.fit_poisson(models.poisson_rows(df)), abs=1e-7)
+    scores = lambda d, w: [tuple(r) for r in metrics.summary(models.uniform(d), (), w).collect()]
+    assert scores(few, "copies")[0] == pytest.approx(scores(df, None)[0])
