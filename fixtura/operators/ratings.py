@@ -1,8 +1,8 @@
 """Sequential ratings: every match reads and writes the state of two teams, in the order (date, source_row).
 
 The fold is the one operator here that can't be cut by team. It can be cut by connected component of the fixture
-graph, whose components share no state; and a single component is one ordered pass that keeps two numbers per
-team, streamed in Arrow batches, so memory is bounded by the number of teams and not by the number of matches.
+graph, whose components share no state; and a single component is one ordered pass that keeps a number per team,
+streamed in Arrow batches and in stretches, so a task's memory is bounded by teams and a stretch, not by all matches.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fixtura.functions.parse import first_rule
+from fixtura.shared import scratch_path, settle
 
 #: Importance multipliers by part of the tournament's name, first match wins (fixed values).
 IMPORTANCE = (
@@ -98,10 +99,35 @@ def folded(settings: EloSettings, start: dict[str, float] | None = None):
     return fold
 
 
-def elo_timeline(matches: DataFrame, settings: EloSettings = EloSettings()) -> DataFrame:
-    """One row per rated match with both sides' ratings before and after. A single ordered stream."""
-    steps = rating_steps(matches, settings).repartition(1).sortWithinPartitions("date", "source_row")
-    return steps.mapInPandas(folded(settings), TIMELINE)
+#: Steps that one task sorts or folds at a time.
+STRETCH = 1_000_000
+
+
+def elo_timeline(matches: DataFrame, settings: EloSettings = EloSettings(), stretch: int = STRETCH) -> DataFrame:
+    """One row per rated match with both sides' ratings before and after: a single ordered stream, in stretches.
+
+    Steps are dealt by ranges of (date, source_row) of about `stretch` rows, sorted on all executors and written out. The
+    fold then goes from range to range and carries a rating per team, so no task ever holds more than one range."""
+    spark = matches.sparkSession
+    steps = settle(rating_steps(matches, settings), "steps")
+    count = steps.count()
+    if count <= stretch:
+        return steps.repartition(1).sortWithinPartitions("date", "source_row").mapInPandas(folded(settings), TIMELINE)
+    dealt = steps.repartitionByRange(-(-count // stretch), "date", "source_row").withColumn("stretch_", F.spark_partition_id())
+    path, out = scratch_path(spark, "stretches"), scratch_path(spark, "timeline")
+    dealt.write.partitionBy("stretch_").parquet(path)
+    parts = spark.read.schema(dealt.schema).parquet(path)
+    last = lambda side: F.struct(F.col(f"{side}_team").alias("team"), F.col(f"{side}_elo_post").alias("rating"))
+    state: dict[str, float] = {}
+    numbers = sorted(r[0] for r in parts.select("stretch_").distinct().collect())  # a number per stretch
+    for k in numbers:
+        ordered = parts.where(F.col("stretch_") == k).drop("stretch_").repartition(1).sortWithinPartitions("date", "source_row")
+        ordered.mapInPandas(folded(settings, state), TIMELINE).write.parquet(f"{out}/part={k}")
+        done = spark.read.schema(TIMELINE).parquet(f"{out}/part={k}")
+        sides = done.select("date", "source_row", F.explode(F.array(last("home"), last("away"))).alias("s"))
+        ends = sides.groupBy("s.team").agg(F.max_by("s.rating", F.struct("date", "source_row")).alias("rating"))
+        state |= {r["team"]: r["rating"] for r in ends.collect()}  # a row per team
+    return spark.read.schema(TIMELINE).parquet(*[f"{out}/part={k}" for k in numbers])
 
 
 def elo_by_component(matches: DataFrame, components: DataFrame, settings: EloSettings = EloSettings()) -> DataFrame:

@@ -326,3 +326,11 @@ def test_a_fold_reads_equal_rows_once(spark):
     assert models.fit_poisson(models.poisson_rows(few, "copies"), weight="copies") == pytest.approx(models.fit_poisson(models.poisson_rows(df)), abs=1e-7)
     scores = lambda d, w: [tuple(r) for r in metrics.summary(models.uniform(d), (), w).collect()]
     assert scores(few, "copies")[0] == pytest.approx(scores(df, None)[0])
+
+
+def test_elo_in_stretches_is_the_same_fold(spark):
+    df, rows = matches(spark)
+    expected, _ = plain_elo(rows)
+    got = {r.match_id: (r.home_elo_pre, r.away_elo_pre, r.delta) for r in ratings.elo_timeline(df, stretch=25).collect()}
+    assert set(got) == set(expected) and len(got) == len(rows)
+    assert all(got[k] == pytest.approx(v) for k, v in expected.items())
