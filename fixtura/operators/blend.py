@@ -28,19 +28,21 @@ def weights_table(spark, versions: dict[str, dict[str, float]] | None = None) ->
     return spark.createDataFrame(rows, "version string, signal string, weight double")
 
 
-def blend(signals: DataFrame, weights: DataFrame, key: str = "match_id") -> DataFrame:
+def blend(signals: DataFrame, weights: DataFrame, key: str = "match_id", held: bool = False) -> DataFrame:
     """key, version, p0..p2, used and missing signals: the weighted mean of the signals a match has, weights made to
-    sum to 1 again. Signals without positive weight take no part; a match with none of a version's has no row."""
+    sum to 1 again. Signals without positive weight take no part; a match with none of a version's has no row. With
+    held, also s, the forecasts of the signals used."""
     positive = weights.where("weight > 0")
     rows = signals.join(small(positive), "signal")
     means = rows.groupBy(key, "version").agg(
         *[(F.sum(F.col("weight") * F.col(f"p{k}")) / F.sum("weight")).alias(f"m{k}") for k in range(3)],
         F.sort_array(F.collect_set("signal")).alias("used"),
+        *[F.collect_list(F.struct("p0", "p1", "p2")).alias("s")] * held,
     )
     names = positive.groupBy("version").agg(F.sort_array(F.collect_set("signal")).alias("configured"))
     total = F.col("m0") + F.col("m1") + F.col("m2")
     out = means.join(small(names), "version")
-    return out.select(key, "version", *[(F.col(f"m{k}") / total).alias(f"p{k}") for k in range(3)], "used", F.array_except("configured", "used").alias("missing"))
+    return out.select(key, "version", *[(F.col(f"m{k}") / total).alias(f"p{k}") for k in range(3)], "used", F.array_except("configured", "used").alias("missing"), *["s"] * held)
 
 
 def disagreement(signals: DataFrame, key: str = "match_id") -> DataFrame:
@@ -66,13 +68,11 @@ def flagged(disagreements: DataFrame, threshold: float = REVIEW_DISTANCE) -> Dat
 def score_versions(signals: DataFrame, labels: DataFrame, weights: DataFrame, key: str = "match_id", threshold: float = REVIEW_DISTANCE) -> DataFrame:
     """Scores of every version on the matches it can serve, and how its loss depends on disagreement."""
     every = labels.select(key, "label")
-    blended = blend(signals, weights, key).join(every, key)
-    # A version's disagreement is that of the signals it uses.
-    used = signals.join(small(weights.where("weight > 0")), "signal")
-    rows = used.groupBy(key, "version").agg(F.collect_list(F.struct("p0", "p1", "p2")).alias("s"))
+    # A version's disagreement is that of the signals it uses, gathered as they are blended.
+    blended = blend(signals, weights, key, held=True).join(every, key)
     gap = lambda a, b: 0.5 * (F.abs(a["p0"] - b["p0"]) + F.abs(a["p1"] - b["p1"]) + F.abs(a["p2"] - b["p2"]))
     worst = F.aggregate("s", F.lit(0.0), lambda top, a: F.aggregate("s", top, lambda inner, b: F.greatest(inner, gap(a, b))))
-    rows = blended.join(rows.select(key, "version", (worst >= threshold).alias("high")), [key, "version"])
+    rows = blended.withColumn("high", worst >= threshold)
     loss = metrics.log_loss()
     return rows.groupBy("version").agg(
         F.count("*").alias("n_scored"),

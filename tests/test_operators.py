@@ -334,3 +334,12 @@ def test_elo_in_stretches_is_the_same_fold(spark):
     got = {r.match_id: (r.home_elo_pre, r.away_elo_pre, r.delta) for r in ratings.elo_timeline(df, stretch=25).collect()}
     assert set(got) == set(expected) and len(got) == len(rows)
     assert all(got[k] == pytest.approx(v) for k, v in expected.items())
+
+
+def test_versions_are_scored_on_signals_gathered_once(spark):
+    signals_ = spark.createDataFrame([(m, s, 0.5, 0.3, 0.2) for m in range(4) for s in ("historical", "market")], "match_id long, signal string, p0 double, p1 double, p2 double")
+    labels = spark.createDataFrame([(m, m % 3) for m in range(4)], "match_id long, label int")
+    made = blend.score_versions(signals_, labels, blend.weights_table(spark, {"both": {"historical": 0.5, "market": 0.5}}))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3
+    row = made.first()
+    assert (row.n_scored, row.mean_signals_used, row.high_disagreement_count) == (4, 2.0, 0)
