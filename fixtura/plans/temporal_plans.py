@@ -218,8 +218,7 @@ def filled_z(t):
 @plan("JOIN-03")
 def wide_table(t):
     """The wide feature table, all columns; its parts have oracles of their own (WIN-03 to WIN-12, JOIN-05)."""
-    table = features.feature_table(t("v_matches"), t("v_timeline"), t("v_releases"))
-    return dated(table.select(*[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in table.dtypes]))
+    return dated(features.feature_table(t("v_matches"), t("v_timeline"), t("v_releases"), places=6))
 
 
 @plan("FLT-07", """SELECT f.year AS fold, CASE WHEN d < make_date(cast(f.year - 2 AS int), 1, 1) THEN 'train' WHEN d < make_date(cast(f.year AS int), 1, 1) THEN 'validation' ELSE 'test' END AS part, count(*) AS n FROM {v_base} CROSS JOIN (SELECT unnest([1998, 1999, 2000]) AS year) f WHERE d < make_date(cast(f.year + 1 AS int), 1, 1) GROUP BY ALL""")

@@ -2,12 +2,14 @@
 
 import math
 import random
+import re
 import time
 
 import numpy as np
 import pytest
 from games import matches, plain_elo
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fixtura.functions import parse, probs, text
 from fixtura.functions.hashing import hash_uniform
@@ -44,6 +46,43 @@ def test_features_ignore_later_rows(spark):
     assert early and all(whole[k] == v for k, v in early.items())
 
 
+def test_form_streams_whatever_the_batches(spark):
+    """Batches end anywhere in a team, a day or a tournament; no window holds a team's history."""
+    df, _ = matches(spark)
+    timeline = ratings.elo_timeline(df).select("match_id", "home_elo_pre", "away_elo_pre", "expected_home")
+    history = features.team_history(df, timeline)
+    order = Window.partitionBy("team").orderBy("date", "source_row")
+    same = Window.partitionBy("team", "tournament").orderBy("day").rangeBetween(-60, 0)
+    later = Window.partitionBy("team", "tournament", "date").orderBy("source_row").rowsBetween(0, Window.unboundedFollowing)
+    plain = history.withColumn("day", F.datediff("date", F.lit("2000-01-01").cast("date"))).select("match_id", "is_home", F.avg("points").over(order.rowsBetween(-10, -1)).alias("ppm"), (1 + F.count("*").over(same) - F.count("*").over(later)).alias("seq"))
+    want = {(r.match_id, r.is_home): (r.ppm, r.seq) for r in plain.collect()}
+    form = features.rolling_form(history)
+    assert "Window" not in form._jdf.queryExecution().optimizedPlan().toString()
+    whole = {(r.match_id, r.is_home): r for r in form.collect()}
+    assert {k: (r.ppm_last10, r.tournament_seq) for k, r in whole.items()} == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert {(r.match_id, r.is_home): r for r in features.rolling_form(history).collect()} == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_wide_table_is_compiled(spark):
+    """The JVM runs methods of over 8,000 bytes interpreted."""
+    df, _ = matches(spark)
+    timeline = ratings.elo_timeline(df).select("match_id", "home_elo_pre", "away_elo_pre", "expected_home")
+    releases = df.groupBy(F.col("home_team").alias("team"), F.last_day("date").alias("release_date")).agg(F.sum("source_row").cast("double").alias("points"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        table = features.feature_table(df.withColumn("country", F.lit("x")), timeline, releases, places=6)
+        code = spark._jvm.PythonSQLUtils.explainString(table._jdf.queryExecution(), "codegen")
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+        assert sizes and max(sizes) <= 8000, sizes
+        assert table.count() == df.where("status = 'played'").count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_asof_is_strict(spark):
     facts = spark.createDataFrame([(1, "a", 5), (2, "a", 6), (3, "b", 1)], "id int, key string, t int")
     states = spark.createDataFrame([("a", 5, 10.0), ("a", 3, 7.0)], "key string, at int, v double")
