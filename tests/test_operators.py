@@ -1,9 +1,11 @@
 """Operators without a SQL form, against plain Python; temporal ones against shuffled and extended inputs."""
 
+import json
 import math
 import random
 import re
 import time
+from datetime import timedelta
 
 import numpy as np
 import pytest
@@ -382,3 +384,63 @@ def test_versions_are_scored_on_signals_gathered_once(spark):
     assert made._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3
     row = made.first()
     assert (row.n_scored, row.mean_signals_used, row.high_disagreement_count) == (4, 2.0, 0)
+
+
+def plain_matrix(lh, la, rho):
+    """A score matrix of 13 by 13 in plain Python, corrected and normalised, and its mass before."""
+    pmf = lambda k, r: math.exp(-r + k * math.log(r) - math.lgamma(k + 1))
+    raw = {(h, a): pmf(h, lh) * pmf(a, la) for h in range(13) for a in range(13)}
+    tau = {(0, 0): 1 - lh * la * rho, (1, 0): 1 + la * rho, (0, 1): 1 + lh * rho, (1, 1): 1 - rho}
+    made = {c: p * tau.get(c, 1.0) for c, p in raw.items()}
+    return {c: p / sum(made.values()) for c, p in made.items()}, sum(raw.values())
+
+
+def test_a_payload_is_whole(spark):
+    """Five scorelines and every market of the corrected matrix, the fixture, and what the forecast was made with."""
+    from test_queries import DATA, QUERIES
+
+    from fixtura.plans.views import Tables
+
+    t = Tables(spark, DATA)
+    bases = {r.k: r for r in t("v_fixture_preds").collect()}
+    got = {r.k: json.loads(r.payload) for r in QUERIES["LEDG-06"](spark, DATA).collect()}
+    assert got.keys() == bases.keys()
+    last = t("v_matches").where("status = 'played'").agg(F.max("date")).first()[0]
+    for k in sorted(got)[::150]:
+        row, made = bases[k], got[k]
+        rates = [math.exp(0.6 + side * 0.4 * row.elo_diff / 400) for side in (1, -1)]
+        matrix, _ = plain_matrix(*rates, -0.05)
+        total = lambda test: round(sum(p for (h, a), p in matrix.items() if test(h, a)), 4)  # noqa: E731, B023
+        best = sorted(matrix, key=lambda c: (-round(matrix[c], 9), c))[:5]  # noqa: B023
+        assert [(s["home"], s["away"]) for s in made["top_scorelines"]] == best
+        assert [s["p"] for s in made["top_scorelines"]] == pytest.approx([matrix[c] for c in best], abs=6e-5)
+        markets = {f"over_{n}_5": total(lambda h, a: h + a > n) for n in range(4)} | {"under_2_5": total(lambda h, a: h + a < 3), "both_teams_score": total(lambda h, a: h > 0 and a > 0), "home_clean_sheet": total(lambda h, a: a == 0), "away_clean_sheet": total(lambda h, a: h == 0)}  # noqa: B023
+        assert made["markets"] == pytest.approx(markets, abs=1.1e-4)
+        assert [made["home_expected_goals"], made["away_expected_goals"]] == pytest.approx(rates, abs=6e-5)
+        assert [made[f"{c}_probability"] for c in ("home_win", "draw", "away_win")] == pytest.approx([row.p0, row.p1, row.p2], abs=6e-5)
+        assert (made["fixture_id"], made["home_team"], made["away_team"], made["tournament"], made["kickoff_timestamp"]) == (k, row.home_team, row.away_team, row.tournament, str(row.date))
+        assert (made["data_cutoff"], made["dataset_version"], made["model_version"]) == (str(last + timedelta(days=1)), "d1", "m1")
+        assert made["kickoff_time_known"] is False and len(made["limitations"]) == 2 and list(made) == sorted(made)
+
+
+def test_matrices_give_what_is_asked_of_them(spark):
+    rates = spark.createDataFrame([(0, 1.4, 0.9, 1, 1), (1, 18.0, 0.05, 13, 0), (2, None, 1.0, 0, 0), (3, 1.0, 1.0, None, 0)], "id int, lh double, la double, h int, a int")
+    got = {r.id: r for r in models.likely_scores(rates, F.col("lh"), F.col("la"), ["id"], 5, rho=0.1, actual=("h", "a"), markets=True).collect()}
+    matrix, mass = plain_matrix(1.4, 0.9, 0.1)
+    assert got[0].p_actual == pytest.approx(matrix[1, 1], abs=1e-12) and got[0].tail_mass == pytest.approx(1 - mass, abs=1e-12)
+    assert sum(p for (h, a), p in matrix.items() if h + a > 2) == pytest.approx(got[0].markets.over_2_5, abs=1e-12)
+    assert got[1].p_actual is None and got[1].tail_mass > 0.8 and got[3].p_actual is None
+    assert (got[2].p_actual, got[2].tail_mass, got[2].markets.over_0_5) == (None, None, None)
+
+
+def test_payloads_keep_nulls_and_revisions(spark):
+    from fixtura.operators import feedback
+
+    df = spark.createDataFrame([(1, None, 1.23456, [(2, 1, 0.123456)])], "k int, p double, rate double, lines array<struct<home:int,away:int,p:double>>")
+    match = {c: F.lit("x") for c in ("home_team", "away_team", "tournament")} | {"date": F.lit("2026-06-11").cast("date")}
+    model = {"data_cutoff": F.lit("2026-06-01").cast("date"), "dataset_version": F.lit("d"), "model_version": F.lit("m")}
+    body = feedback.payload(F.col("k"), match, ["p"] * 3, ["rate"] * 2, "lines", {"b": F.lit(0.55555), "a": F.lit(0.1)}, model, {"model_version": F.lit("m+r1"), "revision": F.lit(1)})
+    made = json.loads(df.select(body.alias("x")).first().x)
+    assert made["draw_probability"] is None and (made["model_version"], made["revision"]) == ("m+r1", 1)
+    assert made["markets"] == {"a": 0.1, "b": 0.5556} and made["home_expected_goals"] == 1.2346
+    assert made["top_scorelines"] == [{"away": 1, "home": 2, "p": 0.1235}] and made["kickoff_timestamp"] == "2026-06-11"
