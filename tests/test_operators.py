@@ -444,3 +444,22 @@ def test_payloads_keep_nulls_and_revisions(spark):
     assert made["draw_probability"] is None and (made["model_version"], made["revision"]) == ("m+r1", 1)
     assert made["markets"] == {"a": 0.1, "b": 0.5556} and made["home_expected_goals"] == 1.2346
     assert made["top_scorelines"] == [{"away": 1, "home": 2, "p": 0.1235}] and made["kickoff_timestamp"] == "2026-06-11"
+
+
+def test_a_missing_chance_is_rebuilt_or_refused(spark):
+    """The chance of any score of the matrix, stored or not, if the model gives again all that was stored."""
+    from fixtura.operators import feedback
+
+    beta, rho, elo = [0.2, 0.5, 0.3], -0.08, 120.0
+    rates = [math.exp(0.2 + 0.5 * elo / 400 + 0.3), math.exp(0.2 - 0.5 * elo / 400)]
+    matrix, _ = plain_matrix(*rates, rho)
+    best = sorted(matrix, key=lambda c: -matrix[c])[:5]
+    lines = [(h, a, round(matrix[h, a], 4)) for h, a in best]
+    moved = [(*lines[0][:2], lines[0][2] + 0.0001), *lines[1:]]
+    h, a = (round(r, 4) for r in rates)
+    rows = [(0, h, a, lines, 7, 5), (1, h, a, lines, *best[0]), (2, h + 0.0001, a, lines, 1, 0), (3, h, None, lines, 1, 0), (4, h, a, moved, 1, 0), (5, h, a, lines[:3], 1, 0), (6, h, a, None, 1, 0), (7, h, a, [lines[1], lines[0], *lines[2:]], 1, 0), (8, h, a, lines, 13, 0), (9, h, a, lines, 12, 12)]
+    df = spark.createDataFrame(rows, "id int, home_rate double, away_rate double, scorelines array<struct<home:int,away:int,p:double>>, home_goals int, away_goals int").withColumns({"elo_diff": F.lit(elo), "home_adv": F.lit(1.0)})
+    got = {r.id: (r.reconstruction, r.probability) for r in feedback.reconstructed(df, beta, rho).collect()}
+    for k, cell in ((0, (7, 5)), (1, best[0]), (9, (12, 12))):
+        assert got[k] == ("validated_reconstruction", pytest.approx(matrix[cell], rel=1e-9))
+    assert [got[k] for k in range(2, 9)] == [(w, None) for w in ("rates_differ", "rates_differ", *["scorelines_differ"] * 4, "outside_grid")]
