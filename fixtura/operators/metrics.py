@@ -96,19 +96,22 @@ def binary_scores(df: DataFrame, p: str, hit: str) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.avg(-(y * F.log(clipped) + (1 - y) * F.log(1 - clipped))).alias("log_loss"), F.avg(F.pow(F.col(p) - y, 2)).alias("brier"), F.avg(((F.col(p) >= 0.5) == (y == 1)).cast("double")).alias("accuracy"))
 
 
-def block_bootstrap(df: DataFrame, value: Column, block: str, resamples: int = 1000, seed: int = 7, level: float = 0.90) -> DataFrame:
-    """Mean of value with a percentile interval over resampled whole blocks.
+def block_bootstrap(df: DataFrame, value: Column, block: str, resamples: int = 1000, seed: int = 7, level: float = 0.90, by: tuple[str, ...] = (), weight: str | None = None) -> DataFrame:
+    """Mean of value with a percentile interval over resampled whole blocks, per group of `by`; with a weight, a row
+    counts as often as it says.
 
     Rows collapse to a sum and a count per block first, so a resample costs blocks, not rows. Draws are hashes of
-    (seed, resample, draw): the same on every run and in any engine."""
-    blocks = df.groupBy(F.col(block).alias("block")).agg(F.sum(value).alias("total"), F.count("*").alias("n"))
-    indexed = blocks.agg(F.sort_array(F.collect_list(F.struct("block", "total", "n"))).alias("b"))  # one row per block, years for instance
-    draws = indexed.select("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")).select("b", "resample", F.explode(F.sequence(F.lit(0), F.size("b") - 1)).alias("draw"))
+    (seed, resample, draw): the same on every run, in any engine and for every group."""
+    total = F.sum(value * F.col(weight)) if weight else F.sum(value)
+    blocks = df.groupBy(*by, F.col(block).alias("block")).agg(total.alias("total"), number_of(weight).alias("n"))
+    indexed = blocks.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("block", "total", "n"))).alias("b"))  # one row per group and block, years for instance
+    draws = indexed.select(*by, "b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")).select(*by, "b", "resample", F.explode(F.sequence(F.lit(0), F.size("b") - 1)).alias("draw"))
     at = F.floor(hash_uniform(F.lit(str(seed)), F.col("resample").cast("string"), F.col("draw").cast("string")) * F.size("b")).cast("int")
-    picked = draws.select("resample", F.get("b", at).alias("x")).groupBy("resample").agg((F.sum("x.total") / F.sum("x.n")).alias("stat"))
-    ends = picked.agg(F.percentile("stat", F.array(F.lit((1 - level) / 2), F.lit(1 - (1 - level) / 2))).alias("q"))
-    point = blocks.agg((F.sum("total") / F.sum("n")).alias("point"), F.count("*").alias("blocks"))
-    return point.join(F.broadcast(ends)).select("point", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"), "blocks")
+    picked = draws.select(*by, "resample", F.get("b", at).alias("x")).groupBy(*by, "resample").agg((F.sum("x.total") / F.sum("x.n")).alias("stat"))
+    ends = picked.groupBy(*by).agg(F.percentile("stat", F.array(F.lit((1 - level) / 2), F.lit(1 - (1 - level) / 2))).alias("q"))
+    point = blocks.groupBy(*by).agg((F.sum("total") / F.sum("n")).alias("point"), F.count("*").alias("blocks"))
+    both = point.join(ends, list(by)) if by else point.join(F.broadcast(ends))
+    return both.select(*by, "point", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"), "blocks")
 
 
 def delta_verdict(point: Column, low: Column, high: Column) -> Column:

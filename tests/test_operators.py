@@ -463,3 +463,79 @@ def test_a_missing_chance_is_rebuilt_or_refused(spark):
     for k, cell in ((0, (7, 5)), (1, best[0]), (9, (12, 12))):
         assert got[k] == ("validated_reconstruction", pytest.approx(matrix[cell], rel=1e-9))
     assert [got[k] for k in range(2, 9)] == [(w, None) for w in ("rates_differ", "rates_differ", *["scorelines_differ"] * 4, "outside_grid")]
+
+
+def test_a_mixture_is_minimal_at_an_edge_too(spark):
+    """Also where members are much alike, and with rows that stand for several."""
+    rnd = random.Random(11)
+    rows = [(a := rnd.uniform(0.2, 0.6), a * rnd.uniform(0.9, 1.1), a * rnd.uniform(0.85, 1.05), rnd.randint(1, 3)) for _ in range(400)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, n int")
+    got = models.minimal_mixture(df, ["a", "b", "c"], weight="n")
+    p, n = np.array([r[:3] for r in rows]), np.array([r[3] for r in rows])
+    slope = (p / (p @ got)[:, None] * n[:, None]).sum(0) / n.sum()  # 1 where a weight is, at most 1 elsewhere
+    assert sum(got) == pytest.approx(1) and min(got) == 0.0
+    assert all(s == pytest.approx(1, abs=1e-6) if w else s <= 1 + 1e-6 for s, w in zip(slope, got, strict=True))
+    assert models.minimal_mixture(df, ["a"], weight="n") == [1.0] and models.minimal_mixture(df.limit(0), ["a", "b"]) == [0.5, 0.5]
+    assert sum(models.minimal_mixture(df.withColumn("d", F.col("a")), ["a", "d"])) == pytest.approx(1)
+
+
+def test_groups_are_resampled_as_if_alone(spark):
+    rnd = random.Random(2)
+    rows = [(m, year, rnd.random(), rnd.randint(1, 4)) for m in "ab" for year in range(2000, 2006) for _ in range(20)]
+    df = spark.createDataFrame(rows, "model string, year int, x double, n int")
+    got = {r.model: tuple(r)[1:] for r in metrics.block_bootstrap(df, F.col("x"), "year", by=("model",), weight="n").collect()}
+    every = df.withColumn("one", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    for m in "ab":
+        assert got[m] == pytest.approx(tuple(metrics.block_bootstrap(every.where(F.col("model") == m), F.col("x"), "year").first()))
+
+
+def test_a_backtest_is_whole(spark):
+    """Home advantage in the rating model, goals learnt and judged on strict rows of the cut matrix, intervals, kinds of
+    competition, and what was fitted."""
+    from fixtura.operators import backtest
+
+    rnd = random.Random(7)
+    cups = ("FIFA World Cup", "FIFA World Cup qualification", "Friendly", "Cup")
+    rows = []
+    for year in (2000, 2001, 2002, 2003):
+        for k in range(60 if year < 2003 else 90):
+            elo, home = float(rnd.choice((-200, -50, 0, 100, 300))), float(k % 3 > 0)
+            goals = [sum(rnd.random() < min(0.9, math.exp(side * elo / 400 + 0.1 * home) * 0.15) for _ in range(10)) for side in (1, -1)]
+            rows.append((f"{year}-0{1 + k % 9}-02", cups[k % 4], elo, home, goals[0] + 6 * (k % 10 == 0), goals[1], k % 10 > 0))
+    df = spark.createDataFrame(rows, "date string, tournament string, elo_diff double, home_adv double, home_score int, away_score int, strict boolean")
+    df = df.withColumn("date", F.col("date").cast("date")).withColumn("label", F.expr("CASE WHEN home_score > away_score THEN 0 WHEN home_score = away_score THEN 1 ELSE 2 END"))
+    unlabelled = df.limit(5).withColumn("label", F.lit(-1))
+    got = {(r.fold, r.model, r.competition): r for r in backtest.run_backtest(df.unionByName(unlabelled), [2003], val_years=2).collect()}
+    names = {"uniform", "frequency", "context", "higher_rated", "ensemble", *backtest.CALIBRATED, *[f"{m}_calibrated" for m in backtest.CALIBRATED]}
+    assert set(got) == {(f, m, "all") for f in (0, 2003) for m in names} | {(0, "ensemble", c) for c in ("world_cup", "qualification", "friendly", "other")}
+    assert sum(r.n for (_, m, c), r in got.items() if c != "all") == got[0, "ensemble", "all"].n == 90
+    assert all(got[0, m, "all"].ci_low == pytest.approx(got[0, m, "all"].log_loss) for m in names)  # one block
+
+    of = lambda years, every=True: [r for r in rows if int(r[0][:4]) in years and (every or r[6])]
+    label = lambda r: 0 if r[4] > r[5] else 1 if r[4] == r[5] else 2
+
+    def davidson(r, nu):
+        q = 10 ** ((r[2] + 60 * r[3]) / 800)
+        return [x / (q + 1 / q + nu) for x in (q, nu, 1 / q)]
+
+    loss = lambda nu, years: np.mean([-math.log(davidson(r, nu)[label(r)] + 1e-12) for r in of(years)])
+    (nu,) = got[2003, "davidson", "all"].fitted
+    assert nu == pytest.approx(min(np.linspace(0.01, 4.99, 2000), key=lambda x: loss(x, (2000,))), abs=5e-3)
+    assert got[2003, "davidson", "all"].log_loss == pytest.approx(loss(nu, (2003,)), abs=1e-9)
+
+    beta, (rho,) = got[2003, "poisson", "all"].fitted, got[2003, "dixon_coles", "all"].fitted
+    rates = lambda r: (math.exp(beta[0] + beta[1] * r[2] / 400 + beta[2] * r[3]), math.exp(beta[0] - beta[1] * r[2] / 400))
+    train = [(r, *rates(r)) for r in of((2000,), every=False)]
+    slopes = [sum(r[4] - h + r[5] - a for r, h, a in train), sum((r[4] - h - r[5] + a) * r[2] / 400 for r, h, a in train), sum((r[4] - h) * r[3] for r, h, a in train)]
+    assert slopes == pytest.approx([0, 0, 0], abs=1e-5)
+    for model, low in (("poisson", 0.0), ("dixon_coles", rho)):
+        row, strict = got[2003, model, "all"], [(r, plain_matrix(*rates(r), low)[0]) for r in of((2003,), every=False)]
+        best = [sorted(m, key=lambda c: (-round(m[c], 9), c))[:3] for _, m in strict]  # noqa: B023
+        assert row.goal_n == len(strict) == 81
+        assert row.scoreline_nll == pytest.approx(np.mean([-math.log(max(m.get(r[4:6], 0), 1e-12)) for r, m in strict]), abs=1e-9)
+        assert row.total_goal_mae == pytest.approx(np.mean([abs(sum(rates(r)) - r[4] - r[5]) for r, _ in strict]), abs=1e-9)
+        assert row.top1_scoreline == pytest.approx(np.mean([r[4:6] == b[0] for (r, _), b in zip(strict, best, strict=True)]))
+        assert row.top3_scoreline == pytest.approx(np.mean([r[4:6] in b for (r, _), b in zip(strict, best, strict=True)]))
+        wins = [[sum(p for (h, a), p in plain_matrix(*rates(r), low)[0].items() if (h < a) - (h > a) + 1 == k) for k in range(3)] for r in of((2003,))]
+        assert row.log_loss == pytest.approx(np.mean([-math.log(p[label(r)] + 1e-12) for r, p in zip(of((2003,)), wins, strict=True)]), abs=1e-9)
+        assert got[0, model, "all"].scoreline_nll == pytest.approx(row.scoreline_nll)
